@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sowline.functions.numeric import lerp, round_half_even
@@ -33,21 +33,30 @@ from sowline.functions.numeric import lerp, round_half_even
 DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def order_bucket(v: Column, mantissa_bits: int = 16) -> Column:
-    """Monotone (non-decreasing) long key of a double: sign, exponent, top mantissa bits."""
-    a = F.abs(v)
-    e0 = F.floor(F.log2(a)).cast("long")
-    p0 = F.pow(F.lit(2.0), e0)
-    # log2 may be off by one next to a power of two: correct it exactly
-    e = (F.when(a < p0, e0 - 1).when(a >= p0 * 2.0, e0 + 1).otherwise(e0))
+def with_order_bucket(df: DataFrame, v: str, out: str, mantissa_bits: int = 16) -> DataFrame:
+    """Add a monotone (non-decreasing) long key of double column ``v``: sign,
+    binary exponent and the top ``mantissa_bits`` mantissa bits.
+
+    Built in steps (one column each) so the expression tree stays small.
+    """
     scale = float(1 << mantissa_bits)
-    m = F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(scale)).cast("long")
-    m = F.least(F.greatest(m, F.lit(0)), F.lit((1 << mantissa_bits) - 1))
-    mag = (e + F.lit(1100)) * F.lit(1 << mantissa_bits) + m + F.lit(1)
+    a, e0, e = F.col("__oa"), F.col("__oe0"), F.col("__oe")
     big = F.lit(1 << 62)
-    return (F.when(v == 0, F.lit(0))
-            .when(F.isnan(a) | (a == float("inf")), F.when(v > 0, big).otherwise(-big))
-            .when(v > 0, mag).otherwise(-mag)).cast("long")
+    return (df
+            .withColumn("__oa", F.abs(F.col(v)))
+            .withColumn("__oe0", F.floor(F.log2(a)).cast("long"))
+            # log2 may be off by one next to a power of two: correct it exactly
+            .withColumn("__oe", F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
+                        .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1).otherwise(e0))
+            .withColumn("__om", F.least(F.greatest(
+                F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(scale)).cast("long"),
+                F.lit(0)), F.lit((1 << mantissa_bits) - 1)))
+            .withColumn(out, F.when(F.col(v) == 0, F.lit(0))
+                        .when(a == float("inf"), F.when(F.col(v) > 0, big).otherwise(-big))
+                        .otherwise(F.signum(F.col(v)).cast("long")
+                                   * ((e + F.lit(1100)) * F.lit(1 << mantissa_bits)
+                                      + F.col("__om") + F.lit(1))).cast("long"))
+            .drop("__oa", "__oe0", "__oe", "__om"))
 
 
 def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
@@ -61,8 +70,12 @@ def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
     keep = F.col("__v").isNotNull() & ~F.isnan("__v")
     for c in g:
         keep = keep & F.col(c).isNotNull()
-    vals = (df.select(*g, F.col(value).cast("double").alias("__v")).where(keep)
-            .withColumn("__b", order_bucket(F.col("__v"), mantissa_bits)))
+    vals = with_order_bucket(
+        df.select(*g, F.col(value).cast("double").alias("__v")).where(keep), "__v", "__b",
+        mantissa_bits)
+    # explicit: the join below would otherwise infer this filter on one branch
+    # only, and the two uses of ``dist`` could no longer share one exchange
+    vals = vals.where(F.col("__b").isNotNull())
     dist = vals.groupBy(*g, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
     hist = dist.groupBy(*g, "__b").agg(F.sum("__c").alias("__cnt"))
     wg = Window.partitionBy(*g)
@@ -71,32 +84,36 @@ def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
                 wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("__n", F.sum("__cnt").over(wg)))
     # target ranks: for each prob the neighbours floor(h) and min(floor(h)+1, n-1)
-    h = lambda p: F.lit(float(p)) * (F.col("__n") - 1).cast("double")
+    names = list(probs)
     tgt = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
-                 (h(p) - F.floor(h(p)).cast("double")).alias("frac"),
-                 (F.floor(h(p)).cast("long") if side == 0 else
-                  F.least(F.floor(h(p)).cast("long") + 1, F.col("__n") - 1)).alias("k"))
-        for name, p in probs.items() for side in (0, 1)])
-    chosen = (hist.select(*g, "__b", "__start", "__cnt", F.explode(tgt).alias("__t"))
-              .where((F.col("__t.k") >= F.col("__start"))
-                     & (F.col("__t.k") < F.col("__start") + F.col("__cnt")))
-              .select(*g, "__b", F.col("__t.name").alias("__name"),
-                      F.col("__t.side").alias("__side"), F.col("__t.frac").alias("__frac"),
-                      (F.col("__t.k") - F.col("__start")).alias("__k")))
-    buckets = chosen.select(*g, "__b").distinct()
-    cand = dist.join(buckets, on=g + ["__b"], how="inner")
-    wb = Window.partitionBy(*g, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    fin = (cand.withColumn("__end", F.sum("__c").over(wb))
-           .select(*g, "__b", "__v", (F.col("__end") - F.col("__c")).alias("__beg"), "__end"))
-    picked = (chosen.join(fin, on=g + ["__b"], how="inner")
-              .where((F.col("__beg") <= F.col("__k")) & (F.col("__k") < F.col("__end"))))
-    pair = picked.groupBy(*g, "__name").agg(
-        F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__a"),
-        F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__z"),
-        F.max("__frac").alias("__f"))
-    qv = pair.select(*g, "__name", lerp(F.col("__a"), F.col("__z"), F.col("__f")).alias("__q"))
-    return qv.groupBy(*g).pivot("__name", list(probs.keys())).agg(F.first("__q"))
+        F.struct(F.lit(i).alias("q"), F.lit(float(probs[name])).alias("p"), F.lit(side).alias("side"))
+        for i, name in enumerate(names) for side in (0, 1)])
+    t = (hist.select(*g, "__b", "__start", "__cnt", "__n", F.explode(tgt).alias("__t"))
+         .withColumn("__h", F.col("__t.p") * (F.col("__n") - 1).cast("double"))
+         .withColumn("__k0", F.floor("__h").cast("long"))
+         .withColumn("__k", F.when(F.col("__t.side") == 0, F.col("__k0"))
+                     .otherwise(F.least(F.col("__k0") + 1, F.col("__n") - 1))))
+    chosen = (t.where((F.col("__k") >= F.col("__start"))
+                      & (F.col("__k") < F.col("__start") + F.col("__cnt")))
+              .select(*g, "__b", F.col("__t.q").alias("__q"), F.col("__t.side").alias("__side"),
+                      (F.col("__h") - F.col("__k0").cast("double")).alias("__frac"),
+                      (F.col("__k") - F.col("__start")).alias("__k")))
+    # rows of the chosen buckets only, once per target that points into them
+    # (at most two per probability), each (group, bucket, target) sorted alone
+    cand = dist.join(chosen, on=g + ["__b"], how="inner")
+    wb = (Window.partitionBy(*g, "__b", "__q", "__side").orderBy("__v")
+          .rowsBetween(Window.unboundedPreceding, 0))
+    picked = (cand.withColumn("__end", F.sum("__c").over(wb))
+              .where((F.col("__end") - F.col("__c") <= F.col("__k")) & (F.col("__k") < F.col("__end"))))
+    aggs = []
+    for i, _ in enumerate(names):
+        hit = F.col("__q") == i
+        aggs += [F.max(F.when(hit & (F.col("__side") == 0), F.col("__v"))).alias(f"__a{i}"),
+                 F.max(F.when(hit & (F.col("__side") == 1), F.col("__v"))).alias(f"__z{i}"),
+                 F.max(F.when(hit, F.col("__frac"))).alias(f"__f{i}")]
+    pair = picked.groupBy(*g).agg(*aggs)
+    return pair.select(*g, *[lerp(F.col(f"__a{i}"), F.col(f"__z{i}"), F.col(f"__f{i}")).alias(name)
+                             for i, name in enumerate(names)])
 
 
 def builtin_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
