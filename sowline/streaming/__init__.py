@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The source work is batch only: no watermarks, windows over streams, state or
+streaming sources exist in it.  The event-gap logic (``operators.machines``)
+is a batch window over whole machine days.
+"""
