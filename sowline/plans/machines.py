@@ -15,6 +15,7 @@ from sowline.functions.dates import epoch_micros, seconds_to_micros
 from sowline.operators import machines as M
 from sowline.operators.quantiles import describe, iqr_filter, median_by
 from sowline.plans.registry import register
+from sowline.session import materialize
 from sowline.sources.tables import read_table
 
 RUNTIME_CUTOFF_TEST_HOURS = 1.0
@@ -176,15 +177,17 @@ def q_describe_processing(spark, base):
 WITH {SQL_DOWN}
 {_describe_sql('down', 'site', 'downtime_seconds', 0)}""")
 def q_describe_downtime(spark, base):
-    return describe(downtime(spark, base), ["site"], "downtime_seconds", digits=0)
+    # one input, several consumers (moments, rank histogram, bucket sort): the
+    # gap computation is stored once instead of recomputed per branch
+    return describe(materialize(downtime(spark, base)), ["site"], "downtime_seconds", digits=0)
 
 
 @register("describe_no_outliers", sql=f"""
 WITH {SQL_PLOTS}
 {_describe_sql(_iqr_sql('plots', 'site', 'processing_seconds'), 'site', 'processing_seconds', 1)}""")
 def q_describe_no_outliers(spark, base):
-    p = plots(spark, base)
-    return describe(iqr_filter(p, ["site"], "processing_seconds"), ["site"],
+    p = materialize(plots(spark, base))
+    return describe(materialize(iqr_filter(p, ["site"], "processing_seconds")), ["site"],
                     "processing_seconds", digits=1)
 
 
@@ -193,7 +196,8 @@ WITH {SQL_RUN}
 {_describe_sql('daily', 'site, week', 'plots_per_hour', None,
                stats=('count', 'p25', 'p50', 'p75', 'max'), where='plots_per_hour <= 100')}""")
 def q_describe_rate_by_week(spark, base):
-    d = daily(spark, base).where(F.col("plots_per_hour") <= F.lit(float(M.MAX_PLOTS_PER_HOUR)))
+    d = materialize(daily(spark, base).where(
+        F.col("plots_per_hour") <= F.lit(float(M.MAX_PLOTS_PER_HOUR))))
     return describe(d, ["site", "week"], "plots_per_hour", digits=None,
                     stats=("count", "p25", "p50", "p75", "max"))
 
@@ -203,7 +207,7 @@ WITH {SQL_DOWN}
 SELECT site, round_even(quantile_cont(downtime_seconds, 0.5) * 10, 0) / 10 AS median
 FROM down GROUP BY site""")
 def q_median_downtime(spark, base):
-    return median_by(downtime(spark, base), ["site"], "downtime_seconds", digits=1)
+    return median_by(materialize(downtime(spark, base)), ["site"], "downtime_seconds", digits=1)
 
 
 @register("share_over_threshold", sql=f"""

@@ -14,6 +14,7 @@ from sowline.operators.reshape import pivot_table
 from sowline.operators.textids import extract_ids
 from sowline.operators.windows import duplicate_flag
 from sowline.plans.registry import register
+from sowline.session import materialize
 from sowline.sources.tables import read_table
 
 
@@ -111,9 +112,13 @@ def attach_dates(spark, base, mode: str = "per_column"):
     # a pandas merge would also match a null set name to null names
     merged2 = retry.join(gl, retry.set_name.eqNullSafe(gl.gl_set_name), "left")
     rest = cells.where(F.col("set_id").isNull())
-    final = union_all([merged1, merged2, rest], allow_missing=True)
+    # the union feeds the duplicate probe and every per-column membership test:
+    # cut the lineage once (reliable checkpoint in the session's checkpoint
+    # folder) instead of re-running the joins for each consumer
+    final = materialize(union_all([merged1, merged2, rest], allow_missing=True))
     flagged = duplicate_flag(final, ["cassette_id", "cell_number"], "__dup")
-    to_delete = flagged.where(F.col("__dup") & F.col("gl_date").isNull()).drop("__dup")
+    # small, and read once per column by the membership test: stored as well
+    to_delete = materialize(flagged.where(F.col("__dup") & F.col("gl_date").isNull()).drop("__dup"))
     return remove_rows(final, to_delete, mode=mode)
 
 
