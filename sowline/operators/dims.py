@@ -17,13 +17,15 @@ from sowline.functions.text import decode_hopper
 
 def calendar(spark: SparkSession, start: dt.date, end: dt.date, sites: Sequence[str] | None = None,
              day_col: str = "day", site_col: str = "site") -> DataFrame:
-    """One row per day from start to end inclusive (x sites when given)."""
+    """One row per day from start to end inclusive (x sites when given).
+
+    Days x sites come from two generators in one projection, not from a join.
+    """
     days = spark.range(1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias(day_col))
     if sites is None:
         return days
-    s = spark.createDataFrame([(x,) for x in sites], f"{site_col} string")
-    return days.crossJoin(s)   # days x sites: both parameter-sized
+    return days.select(day_col, F.explode(F.array(*[F.lit(x) for x in sites])).alias(site_col))
 
 
 def machine_dim(spark: SparkSession, machines_by_site: Mapping[str, Sequence[str]],

@@ -65,18 +65,17 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     * any null in the subquery -> no row qualifies;
     * a null left key qualifies only when the subquery is empty.
     Built as an anti join on the non-null keys (shuffle or broadcast, chosen
-    by AQE) and a one-row summary of the subquery, so it never falls back to a
-    nested-loop join the way a large NOT IN subquery can.
+    by AQE) and two scalar subqueries (row count, null count), so it never
+    falls back to a nested-loop join the way a large NOT IN subquery can.
     """
     rk = right.select(F.col(right_key).alias("__rk"))
-    summary = rk.agg(F.count(F.lit(1)).alias("__n"),
-                     F.max(F.col("__rk").isNull().cast("int")).alias("__has_null"))
+    # two scalar subqueries over the subquery side (partial aggregation, one
+    # value each), used as filter literals: no join to attach them
+    n_rows = rk.agg(F.count(F.lit(1))).scalar()
+    n_null = rk.agg(F.count(F.lit(1)) - F.count("__rk")).scalar()
     keys = rk.where(F.col("__rk").isNotNull()).distinct()
     anti = left.join(keys, left[left_key] == keys["__rk"], "left_anti")
-    return (anti.crossJoin(F.broadcast(summary))   # one row: size fixed
-            .where((F.col("__n") == 0)
-                   | ((F.col("__has_null") == 0) & F.col(left_key).isNotNull()))
-            .drop("__n", "__has_null"))
+    return anti.where((n_rows == 0) | ((n_null == 0) & F.col(left_key).isNotNull()))
 
 
 def match_else(base: DataFrame, direct: DataFrame, direct_key: str, base_key: str,

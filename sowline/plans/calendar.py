@@ -76,9 +76,8 @@ GROUP BY cal.day, cal.event_type""")
 def q_daily_counts_dense(spark, base):
     ev = _events_in_range(spark, base)
     facts = ev.groupBy(utc_day("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    days = calendar(spark, EV_START, EV_END)
-    types = spark.createDataFrame([(t,) for t in EVENT_TYPES], "event_type string")
-    dim = F.broadcast(days.crossJoin(types))   # parameter-sized: days x listed types
+    # parameter-sized: days x listed types
+    dim = F.broadcast(calendar(spark, EV_START, EV_END, EVENT_TYPES, site_col="event_type"))
     return zero_fill(dim, facts, [("day", "day"), ("event_type", "event_type")], "n",
                      mode="dense", out="n_events")
 
