@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sowline.functions.dates import local_day, utc_day
 from sowline.operators.aggregates import zero_fill
-from sowline.operators.dims import calendar
+from sowline.operators.dims import calendar, machine_dim
 from sowline.operators.relational import union_all
 from sowline.operators.reshape import pivot_sum, pivot_table
 from sowline.operators.windows import running_total
@@ -32,6 +32,10 @@ CAT2 = ("2-HIGH", "3-MEDIUM")
 PRIORITY_CODES = {"p1": "1-URGENT", "p2": "2-HIGH", "p3": "3-MEDIUM", "p4": "4-NOT SPECIFIED",
                   "p5": "5-LOW"}
 BIG_ORDER = 450000.0
+# machine roster (serial -> site) and category lists checked in order: 'click'
+# is in both lists and becomes cat3 (M9); 'refund' is on the roster but has no events
+ROSTER = {"S0": ("click", "view", "error"), "S1": ("purchase", "signup", "refund")}
+ROSTER_CATEGORIES = (("cat3", ("click", "purchase")), ("cat2", ("click", "view", "signup")))
 
 SQL_EV_CAL = """
 cal AS (SELECT CAST(g.d AS DATE) AS day, v.t AS event_type
@@ -207,3 +211,21 @@ def q_date_by_category_pivot(spark, base):
     counts = o.groupBy(F.year("o_orderdate").alias("year"), "o_orderpriority") \
               .agg(F.count(F.lit(1)).alias("n"))
     return pivot_table(counts, ["year"], "o_orderpriority", PRIORITY_CODES, "n", agg="max")
+
+
+@register("category_by_roster", sql="""
+WITH roster AS (SELECT * FROM (VALUES ('click', 'S0'), ('view', 'S0'), ('error', 'S0'),
+                                      ('purchase', 'S1'), ('signup', 'S1'), ('refund', 'S1')) v(serial, site)),
+dim AS (SELECT serial, site,
+               CASE WHEN serial IN ('click', 'purchase') THEN 'cat3'
+                    WHEN serial IN ('click', 'view', 'signup') THEN 'cat2' END AS category
+        FROM roster)
+SELECT CAST(ts AS DATE) AS day, dim.site, dim.category, count(*) AS n_events
+FROM events JOIN dim ON events.event_type = dim.serial
+GROUP BY 1, 2, 3""")
+def q_category_by_roster(spark, base):
+    ev = read_table(spark, base, "events")
+    dim = F.broadcast(machine_dim(spark, ROSTER, ROSTER_CATEGORIES))   # roster-sized
+    j = ev.join(dim, ev.event_type == dim.serial)
+    return j.groupBy(utc_day("ts").alias("day"), "site", "category") \
+            .agg(F.count(F.lit(1)).alias("n_events"))

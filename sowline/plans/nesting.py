@@ -55,20 +55,17 @@ def q_unnest_double(spark, base):
 
 
 @register("unnest_nested", sql="""
-SELECT c_custkey, o_orderkey, l_linenumber, l_partkey
-FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey""")
+SELECT l_orderkey, l_linestatus, l_linenumber, l_partkey FROM lineitem""")
 def q_unnest_nested(spark, base):
-    c = T(spark, base, "customer").select("c_custkey")
-    o = T(spark, base, "orders").select("o_orderkey", "o_custkey")
     li = T(spark, base, "lineitem")
-    per_order = li.groupBy("l_orderkey").agg(F.collect_list(
-        F.struct("l_linenumber", "l_partkey")).alias("lines"))
-    orders = o.join(per_order, o.o_orderkey == per_order.l_orderkey) \
-              .select("o_custkey", F.struct("o_orderkey", "lines").alias("entry"))
-    per_cust = orders.groupBy("o_custkey").agg(F.collect_list("entry").alias("entries"))
-    nested = c.join(per_cust, c.c_custkey == per_cust.o_custkey).select("c_custkey", "entries")
-    flat = unnest_nested(nested, "entries", "e", "lines", "m")
-    return flat.select("c_custkey", F.col("e.o_orderkey").alias("o_orderkey"),
+    # one record per order: entries (one per line status) each holding its
+    # materials (line number, part) -- two array levels inside one record
+    entries = li.groupBy("l_orderkey", "l_linestatus").agg(F.collect_list(
+        F.struct("l_linenumber", "l_partkey")).alias("materials"))
+    orders = entries.groupBy("l_orderkey").agg(F.collect_list(
+        F.struct("l_linestatus", "materials")).alias("entries"))
+    flat = unnest_nested(orders, "entries", "e", "materials", "m")
+    return flat.select("l_orderkey", F.col("e.l_linestatus").alias("l_linestatus"),
                        F.col("m.l_linenumber").alias("l_linenumber"),
                        F.col("m.l_partkey").alias("l_partkey"))
 
