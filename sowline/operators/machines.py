@@ -49,6 +49,9 @@ def machine_downtime(plots: DataFrame, split_hours: int | None = 1) -> DataFrame
     With ``split_hours`` the sort runs per machine-day-hour block (see
     ``windows.next_in_group``).
     """
+    # pandas groupby drops rows whose group key is null
+    plots = plots.where(F.col("site").isNotNull() & F.col("machine").isNotNull()
+                        & F.col("date").isNotNull())
     split = None
     if split_hours:
         split = F.floor(F.col("start_us") / F.lit(split_hours * 3_600_000_000)).cast("long")

@@ -55,8 +55,14 @@ def next_in_group(df: DataFrame, value: str, partition_by: Sequence[str], order_
              .withColumn("__last", F.lead(F.lit(1)).over(w).isNull()))
     # first value of each sub-group, then the first value of the following
     # non-empty sub-group: one row per sub-group, partial-aggregated.
-    firsts = keyed.groupBy(*keys).agg(
-        F.min_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("__first"))
+    # one row per sub-group with its first value (partial aggregation).  When
+    # the carried value is the leading ordering column, the first value is
+    # simply its minimum (a hash aggregate); otherwise min_by over the ordering.
+    if value == order[0]:
+        first = F.min(F.col(value))
+    else:
+        first = F.min_by(F.col(value), F.struct(*[F.col(c) for c in order]))
+    firsts = keyed.groupBy(*keys).agg(first.alias("__first"))
     wsub = Window.partitionBy(*part).orderBy(sub)
     hand_off = firsts.select(*keys, F.lead("__first").over(wsub).alias("__next_first"))
     joined = inner.join(hand_off, on=keys, how="left")
