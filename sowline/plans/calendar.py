@@ -165,7 +165,7 @@ WITH lvl1 AS (
   SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority, o_orderstatus,
          count(DISTINCT o_custkey) AS n
   FROM orders GROUP BY 1, 2, 3)
-SELECT year(day) AS year, CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END AS season,
+SELECT CAST(year(day) AS INTEGER) AS year, CASE WHEN month(day) <= 6 THEN 'H1' ELSE 'H2' END AS season,
        o_orderpriority, 'orders' AS source, CAST(sum(n) AS BIGINT) AS n_total
 FROM lvl1 GROUP BY 1, 2, 3, 4""")
 def q_season_rollup(spark, base):
@@ -180,7 +180,7 @@ def q_season_rollup(spark, base):
 
 @register("category_columns", sql="""
 WITH c AS (
-  SELECT year(o_orderdate) AS year,
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'cat3'
               WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'cat2' END AS category
   FROM orders)
@@ -197,7 +197,7 @@ def q_category_columns(spark, base):
 
 
 @register("date_by_category_pivot", sql=f"""
-WITH c AS (SELECT year(o_orderdate) AS year, o_orderpriority, count(*) AS n FROM orders
+WITH c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, count(*) AS n FROM orders
            WHERE o_totalprice > {BIG_ORDER} GROUP BY 1, 2)
 SELECT year,
        max(CASE WHEN o_orderpriority = '1-URGENT' THEN n END) AS p1,

@@ -88,9 +88,9 @@ def q_conditional_sums(spark, base):
 
 
 @register("seed_check", sql="""
-SELECT p_partkey, min(p_size * 10.0) AS stock, sum(l_quantity) AS requested,
-       min(p_size * 10.0) - sum(l_quantity) AS remaining,
-       CASE WHEN min(p_size * 10.0) - sum(l_quantity) < 0 THEN 'Not Enough Seed'
+SELECT p_partkey, min(p_size * 10.0::DOUBLE) AS stock, sum(l_quantity) AS requested,
+       min(p_size * 10.0::DOUBLE) - sum(l_quantity) AS remaining,
+       CASE WHEN min(p_size * 10.0::DOUBLE) - sum(l_quantity) < 0 THEN 'Not Enough Seed'
             ELSE 'Enough Seed' END AS status
 FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey""")
 def q_seed_check(spark, base):
@@ -114,8 +114,8 @@ def q_latest_status_date(spark, base):
 
 
 @register("nest_children", sql="""
-SELECT o_custkey, to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}
-                               ORDER BY o_orderkey, o_orderstatus)) AS orders_json,
+SELECT o_custkey, CAST(to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}
+                               ORDER BY o_orderkey, o_orderstatus)) AS VARCHAR) AS orders_json,
        count(*) AS n_orders
 FROM orders GROUP BY o_custkey""")
 def q_nest_children(spark, base):

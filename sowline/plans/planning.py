@@ -52,7 +52,7 @@ def _units_sql(default: float, where: str) -> str:
     rows = (f"coalesce(CASE WHEN l_linenumber <= 2 THEN NULL "
             f"ELSE CAST(l_linenumber - 2 AS DOUBLE) END, {default})")
     cells = f"(l_quantity * {rows})"
-    return f"""(SELECT year(l_shipdate) AS year, p_type AS crop, {cells} AS cells,
+    return f"""(SELECT CAST(year(l_shipdate) AS INTEGER) AS year, p_type AS crop, {cells} AS cells,
        CASE WHEN {rows} = 1 THEN {cells} WHEN {rows} > 1 THEN {cells} / 2 ELSE 0.0 END AS packets
      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where})"""
 
