@@ -305,18 +305,26 @@ def test_upsert_histogram_profile_describe_string(spark):
 
 def test_kv_pivot_and_running_total(spark):
     df = spark.createDataFrame(
-        [(1, [("SEEDS", "10"), ("PACKETS", "3")]), (2, [("SEEDS", "x")])],
+        [(1, [("SEEDS", "10"), ("PACKETS", "3")]), (2, [("SEEDS", "12.5"), ("SEEDS", "2")])],
         "k long, ins array<struct<code:string,value:string>>")
     got = {r.k: (r.seeds, r.packets) for r in kv_pivot(
-        df, ["k"], "ins", "code", "value", {"seeds": "SEEDS", "packets": "PACKETS"},
-        cast="decimal(38,9)").collect()} if spark.conf.get("spark.sql.ansi.enabled") == "false" \
-        else None
-    # with ANSI on, a bad numeric text must go through try_cast
-    e = unnest(df, "ins", "i")
-    out = e.groupBy("k").agg(
-        F.max(F.when(F.col("i.code") == "SEEDS", F.col("i.value").try_cast("decimal(38,9)"))).alias("s"))
-    assert {r.k: (None if r.s is None else float(r.s)) for r in out.collect()} == {1: 10.0, 2: None}
-    del got
+        df, ["k"], "ins", "code", "value", {"seeds": "SEEDS", "packets": "PACKETS"}).collect()}
+    assert {k: (float(s), None if p is None else float(p)) for k, (s, p) in got.items()} == \
+        {1: (10.0, 3.0), 2: (12.5, None)}
+    # with ANSI on, bad numeric text must go through try_cast
+    bad = spark.createDataFrame([(1, [("SEEDS", "x")])],
+                                "k long, ins array<struct<code:string,value:string>>")
+    e = unnest(bad, "ins", "i")
+    out = e.groupBy("k").agg(F.max(F.when(F.col("i.code") == "SEEDS",
+                                          F.col("i.value").try_cast("decimal(38,9)"))).alias("s"))
+    assert out.first().s is None
     d = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5)], "site string, day int, n long")
     assert rows(running_total(d, "n", ["site"], ["day"]), "site", "day", "running_total") == \
         [("a", 1, 2), ("a", 2, 5), ("b", 1, 5)]
+
+
+def test_calendar_grid_has_no_join(spark):
+    cal = calendar(spark, dt.date(2024, 1, 30), dt.date(2024, 2, 2), ["A", "B", "C"])
+    assert cal.count() == 12
+    plan = cal._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
