@@ -195,3 +195,50 @@ def q_row_type_counts(spark, base):
     n = F.col("l_linenumber")
     rt = F.when(n == 1, "border").when(n == 7, "buffer").otherwise("plot")
     return li.groupBy(rt.alias("row_type"), "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("labelled_daily_counts", sql="""
+WITH ps AS (SELECT p_partkey, p_type AS crop FROM part WHERE p_size > 25)
+SELECT CAST(l_shipdate AS DATE) AS date, coalesce(ps.crop, 'Crop Unknown') AS crop,
+       count(*) AS n_cells
+FROM lineitem LEFT JOIN ps ON l_partkey = ps.p_partkey
+WHERE l_shipdate >= TIMESTAMP '2000-01-01'
+GROUP BY 1, 2""")
+def q_labelled_daily_counts(spark, base):
+    li = T(spark, base, "lineitem").where(F.col("l_shipdate") >= F.lit(dt.datetime(2000, 1, 1)))
+    # the lookup is filtered inside the right side, so the join stays outer;
+    # unmatched rows get the 'Crop Unknown' label (P25)
+    ps = T(spark, base, "part").where(F.col("p_size") > 25).select("p_partkey", F.col("p_type").alias("crop"))
+    j = li.join(ps, li.l_partkey == ps.p_partkey, "left")
+    return j.groupBy(utc_day("l_shipdate").alias("date"),
+                     F.coalesce(F.col("crop"), F.lit("Crop Unknown")).alias("crop")) \
+            .agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@register("relabel_then_group", sql="""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' ELSE o_orderpriority END AS label,
+       count(*) AS n
+FROM orders GROUP BY year(o_orderdate), o_orderpriority""")
+def q_relabel_then_group(spark, base):
+    o = T(spark, base, "orders")
+    # grouped by the raw value, labelled afterwards: two raw values give two
+    # rows with one label until a later roll-up sums them
+    g = o.groupBy(F.year("o_orderdate").alias("year"), "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"))
+    label = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "HIGH") \
+             .otherwise(F.col("o_orderpriority"))
+    return g.select("year", label.alias("label"), "n")
+
+
+@register("first_last_times", sql="""
+SELECT l_orderkey, min(l_shipdate) AS first_time, max(l_shipdate) AS last_time,
+       count(*) AS n_lines
+FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
+def q_first_last_times(spark, base):
+    li = T(spark, base, "lineitem")
+    # timestamps stay timestamp_ntz (DATETIME without zone), not days
+    return li.groupBy("l_orderkey").agg(
+        F.min(F.col("l_shipdate").cast("timestamp_ntz")).alias("first_time"),
+        F.max(F.col("l_shipdate").cast("timestamp_ntz")).alias("last_time"),
+        F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") > 1)
