@@ -166,20 +166,20 @@ def q_existence_label(spark, base):
 
 
 @register("compliance_status", sql="""
-SELECT s_suppkey, s_name, n_name, 'FTS' AS status
+SELECT s_suppkey, s_name, n_name, 'flagged' AS status
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_regionkey = 0
 UNION
-SELECT s_suppkey, s_name, n_name, 'FTS' AS status
+SELECT s_suppkey, s_name, n_name, 'flagged' AS status
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
 WHERE s_acctbal < 1000""")
 def q_compliance_status(spark, base):
     s, n, r = T(spark, base, "supplier"), T(spark, base, "nation"), T(spark, base, "region")
     b1 = (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
           .where(F.col("r_regionkey") == 0)
-          .select("s_suppkey", "s_name", "n_name", F.lit("FTS").alias("status")))
+          .select("s_suppkey", "s_name", "n_name", F.lit("flagged").alias("status")))
     b2 = (s.where(F.col("s_acctbal") < 1000).join(n, s.s_nationkey == n.n_nationkey, "left")
-          .select("s_suppkey", "s_name", "n_name", F.lit("FTS").alias("status")))
+          .select("s_suppkey", "s_name", "n_name", F.lit("flagged").alias("status")))
     return union_distinct([b1, b2])
 
 

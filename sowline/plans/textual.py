@@ -79,8 +79,8 @@ def q_extract_ids(spark, base):
 
 
 # ------------------------------------------------------------ C31 attach date
-GL_ID_MIN_SIZE = 25       # parts above this size have a greenlight row by id
-GL_NAME_MAX_SIZE = 5      # names whose smallest part is below this have a row by name
+RELEASE_ID_MIN_SIZE = 25       # parts above this size have a release row by id
+RELEASE_NAME_MAX_SIZE = 5      # names whose smallest part is below this have a row by name
 
 
 def _cells(spark, base):
@@ -92,25 +92,25 @@ def _cells(spark, base):
                     F.col("p_name").alias("set_name"), F.col("l_linestatus").alias("cat_type"))
 
 
-def _greenlight(spark, base):
+def _release_dates(spark, base):
     p = T(spark, base, "part")
-    by_id = p.where(F.col("p_size") > GL_ID_MIN_SIZE).select(
-        F.col("p_partkey").alias("gl_set_id"), F.lit(None).cast("string").alias("gl_set_name"),
-        F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("p_size")).alias("gl_date"))
+    by_id = p.where(F.col("p_size") > RELEASE_ID_MIN_SIZE).select(
+        F.col("p_partkey").alias("rel_set_id"), F.lit(None).cast("string").alias("rel_set_name"),
+        F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("p_size")).alias("rel_date"))
     by_name = p.groupBy("p_name").agg(F.min("p_size").alias("m")).where(
-        F.col("m") < GL_NAME_MAX_SIZE).select(
-        F.lit(None).cast("long").alias("gl_set_id"), F.col("p_name").alias("gl_set_name"),
-        F.date_add(F.lit(dt.date(2024, 3, 1)), F.col("m")).alias("gl_date"))
+        F.col("m") < RELEASE_NAME_MAX_SIZE).select(
+        F.lit(None).cast("long").alias("rel_set_id"), F.col("p_name").alias("rel_set_name"),
+        F.date_add(F.lit(dt.date(2024, 3, 1)), F.col("m")).alias("rel_date"))
     return union_all([by_id, by_name])
 
 
 def attach_dates(spark, base, mode: str = "per_column"):
-    cells, gl = _cells(spark, base), _greenlight(spark, base)
+    cells, rel = _cells(spark, base), _release_dates(spark, base)
     with_id = cells.where(F.col("set_id").isNotNull())
-    merged1 = with_id.join(gl, with_id.set_id == gl.gl_set_id, "left")
-    retry = merged1.where(F.col("gl_date").isNull()).select(*cells.columns)
+    merged1 = with_id.join(rel, with_id.set_id == rel.rel_set_id, "left")
+    retry = merged1.where(F.col("rel_date").isNull()).select(*cells.columns)
     # a pandas merge would also match a null set name to null names
-    merged2 = retry.join(gl, retry.set_name.eqNullSafe(gl.gl_set_name), "left")
+    merged2 = retry.join(rel, retry.set_name.eqNullSafe(rel.rel_set_name), "left")
     rest = cells.where(F.col("set_id").isNull())
     # the union feeds the duplicate probe and every per-column membership test:
     # cut the lineage once (reliable checkpoint in the session's checkpoint
@@ -118,7 +118,7 @@ def attach_dates(spark, base, mode: str = "per_column"):
     final = materialize(union_all([merged1, merged2, rest], allow_missing=True))
     flagged = duplicate_flag(final, ["cassette_id", "cell_number"], "__dup")
     # small, and read once per column by the membership test: stored as well
-    to_delete = materialize(flagged.where(F.col("__dup") & F.col("gl_date").isNull()).drop("__dup"))
+    to_delete = materialize(flagged.where(F.col("__dup") & F.col("rel_date").isNull()).drop("__dup"))
     return remove_rows(final, to_delete, mode=mode)
 
 
@@ -127,27 +127,27 @@ cells AS (SELECT l_orderkey AS cassette_id, l_linenumber AS cell_number,
                  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_partkey END AS set_id,
                  p_name AS set_name, l_linestatus AS cat_type
           FROM lineitem JOIN part ON l_partkey = p_partkey),
-gl AS (SELECT p_partkey AS gl_set_id, NULL::VARCHAR AS gl_set_name,
-              DATE '2024-01-01' + p_size AS gl_date FROM part WHERE p_size > {GL_ID_MIN_SIZE}
+rel AS (SELECT p_partkey AS rel_set_id, NULL::VARCHAR AS rel_set_name,
+              DATE '2024-01-01' + p_size AS rel_date FROM part WHERE p_size > {RELEASE_ID_MIN_SIZE}
        UNION ALL
        SELECT NULL::BIGINT, p_name, DATE '2024-03-01' + min(p_size) FROM part GROUP BY p_name
-       HAVING min(p_size) < {GL_NAME_MAX_SIZE}),
-m1 AS (SELECT c.*, gl.* FROM cells c LEFT JOIN gl ON c.set_id = gl.gl_set_id
+       HAVING min(p_size) < {RELEASE_NAME_MAX_SIZE}),
+m1 AS (SELECT c.*, rel.* FROM cells c LEFT JOIN rel ON c.set_id = rel.rel_set_id
        WHERE c.set_id IS NOT NULL),
-m2 AS (SELECT c.*, gl.* FROM (SELECT cassette_id, cell_number, set_id, set_name, cat_type
-                              FROM m1 WHERE gl_date IS NULL) c
-       LEFT JOIN gl ON c.set_name IS NOT DISTINCT FROM gl.gl_set_name),
-rest AS (SELECT *, NULL::BIGINT AS gl_set_id, NULL::VARCHAR AS gl_set_name, NULL::DATE AS gl_date
+m2 AS (SELECT c.*, rel.* FROM (SELECT cassette_id, cell_number, set_id, set_name, cat_type
+                              FROM m1 WHERE rel_date IS NULL) c
+       LEFT JOIN rel ON c.set_name IS NOT DISTINCT FROM rel.rel_set_name),
+rest AS (SELECT *, NULL::BIGINT AS rel_set_id, NULL::VARCHAR AS rel_set_name, NULL::DATE AS rel_date
          FROM cells WHERE set_id IS NULL),
 fin AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM rest),
 dup AS (SELECT *, count(*) OVER (PARTITION BY cassette_id, cell_number) > 1 AS is_dup FROM fin),
-del AS (SELECT * FROM dup WHERE is_dup AND gl_date IS NULL),
+del AS (SELECT * FROM dup WHERE is_dup AND rel_date IS NULL),
 kept AS (
   SELECT f.* FROM fin f
   WHERE NOT (""" + "\n    AND ".join(
     f"EXISTS (SELECT 1 FROM del WHERE del.{c} IS NOT DISTINCT FROM f.{c})"
-    for c in ("cassette_id", "cell_number", "set_id", "set_name", "cat_type", "gl_set_id",
-              "gl_set_name", "gl_date")) + "))"
+    for c in ("cassette_id", "cell_number", "set_id", "set_name", "cat_type", "rel_set_id",
+              "rel_set_name", "rel_date")) + "))"
 
 
 @register("attach_date_dedupe", sql=f"""
@@ -157,13 +157,13 @@ def q_attach_date_dedupe(spark, base):
     return attach_dates(spark, base)
 
 
-@register("greenlight_date_pivot", sql=f"""
+@register("release_date_pivot", sql=f"""
 WITH {SQL_ATTACH},
-c AS (SELECT gl_date, cat_type, count(*) AS n FROM kept WHERE gl_date IS NOT NULL GROUP BY 1, 2)
-SELECT gl_date, max(CASE WHEN cat_type = 'F' THEN n END) AS cat_f,
+c AS (SELECT rel_date, cat_type, count(*) AS n FROM kept WHERE rel_date IS NOT NULL GROUP BY 1, 2)
+SELECT rel_date, max(CASE WHEN cat_type = 'F' THEN n END) AS cat_f,
        max(CASE WHEN cat_type = 'O' THEN n END) AS cat_o
-FROM c GROUP BY gl_date""")
-def q_greenlight_date_pivot(spark, base):
-    kept = attach_dates(spark, base).where(F.col("gl_date").isNotNull())   # groupby drops nulls (M10)
-    counts = kept.groupBy("gl_date", "cat_type").agg(F.count(F.lit(1)).alias("n"))
-    return pivot_table(counts, ["gl_date"], "cat_type", {"cat_f": "F", "cat_o": "O"}, "n", agg="max")
+FROM c GROUP BY rel_date""")
+def q_release_date_pivot(spark, base):
+    kept = attach_dates(spark, base).where(F.col("rel_date").isNotNull())   # groupby drops nulls (M10)
+    counts = kept.groupBy("rel_date", "cat_type").agg(F.count(F.lit(1)).alias("n"))
+    return pivot_table(counts, ["rel_date"], "cat_type", {"cat_f": "F", "cat_o": "O"}, "n", agg="max")

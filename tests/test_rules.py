@@ -84,7 +84,7 @@ def test_m8_not_in(spark):
 
 
 def test_m9_category_order(spark):
-    d = machine_dim(spark, {"HAZ": ["10002-019", "10002-031", "10002-004"]},
+    d = machine_dim(spark, {"S0": ["10002-019", "10002-031", "10002-004"]},
                     [("Cat 3", ["10002-019", "10002-031"]), ("Cat 2", ["10002-019", "10002-004"])])
     got = {r.serial: (r.hopper, r.category) for r in d.collect()}
     assert got["10002-019"] == ("19", "Cat 3")
@@ -206,9 +206,9 @@ def test_m15_gaps_split_equals_plain(spark):
 
 
 def test_m19_substr_marker_and_casts(spark):
-    df = spark.createDataFrame([("FTS-XYZ123",), ("ab FTS-1",), ("none",), (None,)], "s string")
-    got = [r[0] for r in df.select(substr_from_marker("s", "FTS", 5)).collect()]
-    assert got == ["FTS-X", "FTS-1", "none", None]
+    df = spark.createDataFrame([("MK-XYZ123",), ("ab MK-1",), ("none",), (None,)], "s string")
+    got = [r[0] for r in df.select(substr_from_marker("s", "MK", 4)).collect()]
+    assert got == ["MK-X", "MK-1", "none", None]
     d = spark.createDataFrame([("12.5",), ("abc",), ("",)], "s string")
     assert [r[0] for r in d.select(safe_decimal("s").cast("string")).collect()] == \
         ["12.500000000", None, None]
