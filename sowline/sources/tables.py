@@ -9,6 +9,7 @@ rather than pre-narrowing by hand.
 from __future__ import annotations
 
 import os
+import weakref
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,22 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Scan one parquet table ``{base}/{name}.parquet`` (file or folder)."""
-    return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+# One scan DataFrame per (session, path): listing files and reading parquet
+# footers costs a driver round trip per call, and a DataFrame is only a lazy
+# plan, so it is safe to hand the same scan to every query of the session.
+_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
+def read_table(spark: SparkSession, base: str, name: str, refresh: bool = False) -> DataFrame:
+    """Scan one parquet table ``{base}/{name}.parquet`` (file or folder).
+
+    ``refresh=True`` lists the files again (after new data was written).
+    """
+    path = os.path.join(base, f"{name}.parquet")
+    scans = _SCANS.setdefault(spark, {})
+    if refresh or path not in scans:
+        scans[path] = spark.read.parquet(path)
+    return scans[path]
 
 
 def read_materialized(spark: SparkSession, path: str) -> DataFrame:
