@@ -56,13 +56,14 @@ def extract_ids(df: DataFrame, text: str, keep: Sequence[str],
         F.col("__i.block_name").alias("block_name"), F.col("__i.set_name").alias("set_name"))
 
     # ranges: start, end, count; kept when end >= start and count > 1
-    rng = base.select(*keep, F.arrays_zip(
-        _all("__t", RANGE_PATTERN, 1).alias("a"), _all("__t", RANGE_PATTERN, 2).alias("b"),
-        _all("__t", RANGE_PATTERN, 3).alias("n")).alias("__r"))
-    rng = (rng.select(*keep, F.explode("__r").alias("__x"))
-           .select(*keep, F.col("__x.a").try_cast("decimal(38,0)").alias("__a"),
-                   F.col("__x.b").try_cast("decimal(38,0)").alias("__b"),
-                   F.col("__x.n").try_cast("decimal(38,0)").alias("__n"))
+    # whole range matches in one pass over the text; the three groups are then
+    # read from each (short) match -- the pattern has no look-around or end
+    # anchor, so re-matching a match yields the same groups
+    rng = base.select(*keep, F.explode(_all("__t", RANGE_PATTERN, 0)).alias("__m"))
+    grp = lambda k: F.regexp_extract("__m", UNICODE + RANGE_PATTERN, k)
+    rng = (rng.select(*keep, grp(1).try_cast("decimal(38,0)").alias("__a"),
+                      grp(2).try_cast("decimal(38,0)").alias("__b"),
+                      grp(3).try_cast("decimal(38,0)").alias("__n"))
            .where((F.col("__b") >= F.col("__a")) & (F.col("__n") > 1))
            .select(*keep, F.col("__a").try_cast("long").alias("__a"), F.col("__b").try_cast("long").alias("__b")))
     chunks = (rng.select(*keep, "__b", F.explode(F.sequence(
