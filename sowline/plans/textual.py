@@ -167,3 +167,17 @@ def q_release_date_pivot(spark, base):
     kept = attach_dates(spark, base).where(F.col("rel_date").isNotNull())   # groupby drops nulls (M10)
     counts = kept.groupBy("rel_date", "cat_type").agg(F.count(F.lit(1)).alias("n"))
     return pivot_table(counts, ["rel_date"], "cat_type", {"cat_f": "F", "cat_o": "O"}, "n", agg="max")
+
+
+def release_workbook(spark, base, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    """The date-attachment results written as named result sets
+    (one folder per sheet of the source workbook) under a shared ``out_dir``."""
+    from sowline.sources.tables import write_results
+    kept = attach_dates(spark, base)
+    counts = kept.where(F.col("rel_date").isNotNull()) \
+                 .groupBy("rel_date", "cat_type").agg(F.count(F.lit(1)).alias("n"))
+    return write_results({
+        "cells_with_dates": kept,
+        "release_date_pivot": pivot_table(counts, ["rel_date"], "cat_type",
+                                          {"cat_f": "F", "cat_o": "O"}, "n", agg="max"),
+    }, out_dir, fmt=fmt)

@@ -23,3 +23,11 @@ def test_materialize_uses_session_checkpoint_dir(spark):
     assert spark.sparkContext.getCheckpointDir()
     df = materialize(constants(spark, [(1,), (2,)], "k long"))
     assert df.count() == 2 and d
+
+
+def test_release_workbook_writes_named_results(spark):
+    from sowline.plans.textual import release_workbook
+    out = tempfile.mkdtemp(prefix="sowline-workbook-")
+    paths = release_workbook(spark, "/root/testdata/sf0.001", out)
+    assert set(paths) == {"cells_with_dates", "release_date_pivot"}
+    assert read_materialized(spark, paths["release_date_pivot"]).count() > 0
