@@ -1,8 +1,10 @@
 """Date and time helpers (rules M1, F1-F12).
 
-Timestamps in the event feeds are treated as UTC instants held in
-``timestamp_ntz`` columns.  Durations are carried as integer microseconds so
-that sums are exact and independent of row order.
+Timestamps in the event feeds are UTC wall-clock values held in
+``timestamp_ntz`` columns.  Every helper here works on them without going
+through the session time zone, so results do not depend on
+``spark.sql.session.timeZone``.  Durations are carried as integer
+microseconds so that sums are exact and independent of row order.
 """
 
 from __future__ import annotations
@@ -15,14 +17,27 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz(text: str) -> Column:
+    """A timestamp_ntz literal from text ('2024-01-05' or '2024-01-05 10:00:00')."""
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def epoch_micros(ts) -> Column:
-    """Microseconds since the epoch for a timestamp or timestamp_ntz (read as UTC)."""
-    return F.unix_micros(_c(ts).cast("timestamp"))
+    """Microseconds since 1970-01-01 00:00 of a timestamp_ntz (UTC wall clock)."""
+    return F.timestamp_diff("MICROSECOND", ntz(EPOCH_NTZ), _c(ts))
 
 
 def micros_to_ts(us) -> Column:
-    """Inverse of epoch_micros, as timestamp_ntz (wall clock in UTC)."""
-    return F.timestamp_micros(_c(us)).cast("timestamp_ntz")
+    """Inverse of epoch_micros, as timestamp_ntz."""
+    return F.timestamp_add("MICROSECOND", _c(us), ntz(EPOCH_NTZ))
+
+
+def micros_to_date(us) -> Column:
+    """The UTC calendar day of an epoch-microsecond instant."""
+    return F.date_from_unix_date(F.floor(_c(us) / F.lit(86_400_000_000)).cast("int"))
 
 
 def seconds_to_micros(sec) -> Column:
@@ -35,13 +50,13 @@ def micros_to_seconds(us) -> Column:
 
 
 def utc_day(ts) -> Column:
-    """EXTRACT(DATE FROM ts): the UTC calendar day."""
-    return F.to_date(_c(ts).cast("timestamp"))
+    """EXTRACT(DATE FROM ts): the UTC calendar day of a timestamp_ntz."""
+    return F.to_date(_c(ts))
 
 
 def local_day(ts, tz: str) -> Column:
-    """DATE(ts, tz): the calendar day in zone ``tz`` of a UTC instant."""
-    return F.to_date(F.from_utc_timestamp(_c(ts).cast("timestamp"), tz))
+    """DATE(ts, tz): the calendar day in zone ``tz`` of a UTC wall-clock timestamp_ntz."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(ts)))
 
 
 def month_day(d) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sowline.functions.dates import iso_week, micros_to_seconds, month_day
+from sowline.functions.dates import iso_week, micros_to_date, micros_to_seconds, month_day
 from sowline.functions.numeric import round_half_even, safe_ratio
 from sowline.operators.windows import gap_to_next
 
@@ -36,7 +36,7 @@ def plot_processing_times(df: DataFrame, site: str, machine: str, plot: str,
                     F.col(plot).alias("plot_id"))
            .agg(F.min(start_us).alias("start_us"), F.max(finish_us).alias("finish_us")))
     return (agg
-            .withColumn("date", F.to_date(F.timestamp_micros("finish_us")))
+            .withColumn("date", micros_to_date("finish_us"))
             .withColumn("processing_us", F.col("finish_us") - F.col("start_us"))
             .withColumn("processing_seconds", micros_to_seconds("processing_us")))
 

@@ -12,7 +12,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sowline.functions.dates import local_day, utc_day
+from sowline.functions.dates import local_day, ntz, utc_day
 from sowline.operators.aggregates import zero_fill
 from sowline.operators.dims import calendar, machine_dim
 from sowline.operators.relational import union_all
@@ -57,8 +57,8 @@ counted AS (
 def _events_in_range(spark, base):
     ev = read_table(spark, base, "events")
     # range predicate on the raw column: reaches the parquet reader
-    return ev.where((F.col("ts") >= F.lit(dt.datetime.combine(EV_START, dt.time())))
-                    & (F.col("ts") < F.lit(dt.datetime.combine(EV_END + dt.timedelta(days=1), dt.time()))))
+    return ev.where((F.col("ts") >= ntz(EV_START.isoformat()))
+                    & (F.col("ts") < ntz((EV_END + dt.timedelta(days=1)).isoformat())))
 
 
 def _site_counts(spark, base):
@@ -125,8 +125,8 @@ run AS (SELECT *, CAST(sum(counted) OVER (PARTITION BY site ORDER BY day
 SELECT day, site, counted, total FROM run WHERE site = 'S0'""")
 def q_three_feed_union(spark, base):
     li = read_table(spark, base, "lineitem").where(
-        (F.col("l_shipdate") >= F.lit(dt.datetime(1998, 1, 1)))
-        & (F.col("l_shipdate") < F.lit(dt.datetime(1999, 1, 1))))
+        (F.col("l_shipdate") >= ntz("1998-01-01"))
+        & (F.col("l_shipdate") < ntz("1999-01-01")))
     li = li.select(utc_day("l_shipdate").alias("day"), "l_returnflag", "l_orderkey")
     a = li.where(F.col("l_returnflag") == "A").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     n = li.where(F.col("l_returnflag") == "N").groupBy("day").agg(

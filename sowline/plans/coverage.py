@@ -7,7 +7,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sowline.functions.dates import utc_day
+from sowline.functions.dates import ntz, utc_day
 from sowline.functions.numeric import round_half_even
 from sowline.functions.text import first_word, substr_from_marker
 from sowline.operators.aggregates import string_agg
@@ -165,8 +165,8 @@ def q_bind_parameter(spark, base):
     o = T(spark, base, "orders")
     return spark.sql(
         "SELECT o_orderkey, o_custkey, o_totalprice FROM {o} "
-        "WHERE o_orderstatus = :status AND o_orderdate >= :since",
-        args={"status": "O", "since": dt.datetime(2000, 1, 1)}, o=o)
+        "WHERE o_orderstatus = :status AND o_orderdate >= CAST(:since AS TIMESTAMP_NTZ)",
+        args={"status": "O", "since": "2000-01-01"}, o=o)
 
 
 @register("string_agg", sql="""
@@ -181,7 +181,7 @@ def q_string_agg(spark, base):
 SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'S0' ELSE 'S1' END AS site, event_type AS machine
 FROM events WHERE ts >= TIMESTAMP '2024-01-15'""")
 def q_distinct_since(spark, base):
-    ev = T(spark, base, "events").where(F.col("ts") >= F.lit(dt.datetime(2024, 1, 15)))
+    ev = T(spark, base, "events").where(F.col("ts") >= ntz("2024-01-15"))
     return ev.select(F.when(F.col("user_id") % 2 == 0, "S0").otherwise("S1").alias("site"),
                      F.col("event_type").alias("machine")).distinct()
 
@@ -205,7 +205,7 @@ FROM lineitem LEFT JOIN ps ON l_partkey = ps.p_partkey
 WHERE l_shipdate >= TIMESTAMP '2000-01-01'
 GROUP BY 1, 2""")
 def q_labelled_daily_counts(spark, base):
-    li = T(spark, base, "lineitem").where(F.col("l_shipdate") >= F.lit(dt.datetime(2000, 1, 1)))
+    li = T(spark, base, "lineitem").where(F.col("l_shipdate") >= ntz("2000-01-01"))
     # the lookup is filtered inside the right side, so the join stays outer;
     # unmatched rows get the 'Crop Unknown' label (P25)
     ps = T(spark, base, "part").where(F.col("p_size") > 25).select("p_partkey", F.col("p_type").alias("crop"))

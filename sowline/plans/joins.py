@@ -4,11 +4,9 @@ P12, P23, A4, A13, U2, C15, C28, C36, C38-C41, C45)."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from sowline.functions.dates import utc_day
+from sowline.functions.dates import ntz, utc_day
 from sowline.operators.nested import unnest
 from sowline.operators.relational import (in_list_flag, match_else, not_in, or_join, reconcile,
                                           union_distinct)
@@ -126,8 +124,8 @@ b AS (SELECT user_id, event_id FROM events WHERE event_type = 'click')
 SELECT a.user_id, a.event_id, a.day FROM a JOIN b ON a.user_id = b.user_id AND a.event_id = b.event_id""")
 def q_reconcile_feeds(spark, base):
     ev = T(spark, base, "events")
-    a = ev.where((F.col("value") > 100) & (F.col("ts") >= F.lit(dt.datetime(2024, 1, 5)))
-                 & (F.col("ts") < F.lit(dt.datetime(2024, 1, 25)))) \
+    a = ev.where((F.col("value") > 100) & (F.col("ts") >= ntz("2024-01-05"))
+                 & (F.col("ts") < ntz("2024-01-25"))) \
           .select("user_id", "event_id", utc_day("ts").alias("day"))
     b = ev.where(F.col("event_type") == "click").select("user_id", "event_id")
     return reconcile(a, b, ["user_id", "event_id"])

@@ -12,6 +12,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sowline.functions.dates import ntz
+
 from sowline.operators.aggregates import describe_string, histogram, null_profile
 from sowline.operators.planning import (BASE_YEAR_ROW, capacity_chain, plan_growth, plan_totals,
                                         plan_units)
@@ -44,7 +46,7 @@ def _yield(spark, base):
 
 def _nursery(spark, base):
     rows = _plan_rows(spark, base).where((F.col("l_returnflag") == "R")
-                                         & (F.col("l_shipdate") < F.lit(dt.datetime(2001, 1, 1))))
+                                         & (F.col("l_shipdate") < ntz("2001-01-01")))
     return plan_units(rows, "plots", "rows_per_plot", 1.0)
 
 

@@ -328,3 +328,22 @@ def test_calendar_grid_has_no_join(spark):
     assert cal.count() == 12
     plan = cal._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_event_time_helpers_ignore_session_zone(spark):
+    from sowline.functions.dates import epoch_micros, micros_to_date, micros_to_ts
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 9, 30),)], "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            r = df.select(epoch_micros("ts").alias("us"), utc_day("ts").alias("d"),
+                          local_day("ts", "America/Chicago").alias("l")).first()
+            back = df.select(micros_to_ts(epoch_micros("ts")).alias("t"),
+                             micros_to_date(epoch_micros("ts")).alias("d2")).first()
+            out.append((r.us, r.d, r.l, back.t, back.d2))
+        assert len(set(out)) == 1
+        assert out[0][0] == 1710063000 * 1_000_000 and out[0][2] == dt.date(2024, 3, 10)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
