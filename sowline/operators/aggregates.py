@@ -36,8 +36,10 @@ def zero_fill(dim: DataFrame, facts: DataFrame, on: Sequence[tuple[str, str]],
       into one row with null fact labels;
     * ``dense``: group by the dim columns only (the caller puts every label in
       the dim), one row per dim row.
-    The dim is parameter-sized (days x sites), the facts are pre-aggregated to
-    that grain, so the join is small on both sides.
+    The dim is parameter-sized (days x sites) and, being the preserved side of
+    the outer join, never the build side; the facts are pre-aggregated to the
+    dim grain, so they are the small build side (broadcast by AQE when their
+    measured size allows, sort-merge otherwise).
     """
     d_alias, f_alias = dim.alias("d"), facts.alias("f")
     cond = [F.col(f"d.{a}") == F.col(f"f.{b}") for a, b in on]

@@ -66,7 +66,10 @@ def _site_counts(spark, base):
     facts = ev.groupBy(utc_day("ts").alias("date"),
                        F.when(F.col("user_id") % 2 == 0, "S0").otherwise("S1").alias("site"),
                        "event_type").agg(F.count(F.lit(1)).alias("n"))
-    dim = F.broadcast(calendar(spark, EV_START, EV_END, SITES))   # parameter-sized
+    # the calendar is the preserved side of the outer join, so it cannot be the
+    # build side; the facts (pre-aggregated to the day grain) are, and AQE
+    # broadcasts them when their measured size is small
+    dim = calendar(spark, EV_START, EV_END, SITES)
     return zero_fill(dim, facts, [("day", "date"), ("site", "site")], "n",
                      group_right=["event_type", "site"], mode="faithful", out="counted")
 
@@ -80,8 +83,8 @@ GROUP BY cal.day, cal.event_type""")
 def q_daily_counts_dense(spark, base):
     ev = _events_in_range(spark, base)
     facts = ev.groupBy(utc_day("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    # parameter-sized: days x listed types
-    dim = F.broadcast(calendar(spark, EV_START, EV_END, EVENT_TYPES, site_col="event_type"))
+    # parameter-sized: days x listed types (preserved side of the outer join)
+    dim = calendar(spark, EV_START, EV_END, EVENT_TYPES, site_col="event_type")
     return zero_fill(dim, facts, [("day", "day"), ("event_type", "event_type")], "n",
                      mode="dense", out="n_events")
 
@@ -134,7 +137,7 @@ def q_three_feed_union(spark, base):
     r = li.where(F.col("l_returnflag") == "R").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     feeds = union_all([a.withColumn("site", F.lit("S0")), n.withColumn("site", F.lit("S1")),
                        r.withColumn("site", F.lit("S0"))])
-    dim = F.broadcast(calendar(spark, FEED_START, FEED_END, ("S0", "S1")))
+    dim = calendar(spark, FEED_START, FEED_END, ("S0", "S1"))
     daily = zero_fill(dim, feeds, [("day", "day"), ("site", "site")], "n", mode="dense",
                       out="counted")
     run = running_total(daily, "counted", ["site"], ["day"], out="total")

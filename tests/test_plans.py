@@ -57,6 +57,7 @@ def test_scans_read_only_needed_columns(spark):
     assert "event_type" in pushed
 
 
-def test_calendar_dims_are_broadcast(spark):
+def test_zero_fill_builds_on_the_aggregated_facts(spark):
     plan = plan_of(E.queries()["daily_counts_faithful"](spark, SF))
-    assert "Broadcast" in plan
+    # the preserved calendar streams; the pre-aggregated facts are the build side
+    assert "LeftOuter, BuildRight" in plan
