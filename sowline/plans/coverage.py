@@ -242,3 +242,15 @@ def q_first_last_times(spark, base):
         F.min(F.col("l_shipdate").cast("timestamp_ntz")).alias("first_time"),
         F.max(F.col("l_shipdate").cast("timestamp_ntz")).alias("last_time"),
         F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") > 1)
+
+
+@register("dynamic_prefix_filter", sql="""
+SELECT p_partkey, p_type, p_name FROM part
+WHERE p_type LIKE concat((SELECT min(p_type) FROM part WHERE p_size > 40), '%')""")
+def q_dynamic_prefix_filter(spark, base):
+    p = T(spark, base, "part")
+    # LIKE CONCAT((scalar subquery), '%'): the prefix is a scalar subquery
+    # evaluated once, then a literal for the filter
+    prefix = p.where(F.col("p_size") > 40).agg(F.min("p_type")).scalar()
+    return p.where(F.like(F.col("p_type"), F.concat(prefix, F.lit("%")))) \
+            .select("p_partkey", "p_type", "p_name")
