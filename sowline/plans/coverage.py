@@ -12,7 +12,7 @@ from sowline.functions.numeric import round_half_even
 from sowline.functions.text import first_word, substr_from_marker
 from sowline.operators.aggregates import string_agg
 from sowline.operators.nested import concat_unnest, filter_elements, unnest
-from sowline.operators.relational import union_all
+from sowline.operators.relational import not_in, union_all
 from sowline.plans import machines as PM
 from sowline.plans.registry import register
 from sowline.sources.tables import read_table
@@ -254,3 +254,23 @@ def q_dynamic_prefix_filter(spark, base):
     prefix = p.where(F.col("p_size") > 40).agg(F.min("p_type")).scalar()
     return p.where(F.like(F.col("p_type"), F.concat(prefix, F.lit("%")))) \
             .select("p_partkey", "p_type", "p_name")
+
+
+@register("cells_per_jar", sql="""
+SELECT l_suppkey AS jar_id, l_returnflag AS counter_group, l_partkey AS set_id,
+       f.o_orderpriority AS session, count(*) AS n_cells
+FROM lineitem
+JOIN (SELECT DISTINCT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') f
+  ON l_orderkey = f.o_orderkey
+WHERE l_linestatus = 'F' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 1)
+GROUP BY 1, 2, 3, 4""")
+def q_cells_per_jar(spark, base):
+    li = T(spark, base, "lineitem").where(F.col("l_linestatus") == "F")
+    fields = T(spark, base, "orders").where(F.col("o_orderstatus") == "F") \
+        .select("o_orderkey", "o_orderpriority").distinct()            # J8: distinct dim
+    carry_over = T(spark, base, "part").where(F.col("p_size") == 1).select("p_partkey")
+    kept = not_in(li, "l_partkey", carry_over, "p_partkey")            # P12 / M8
+    j = kept.join(fields, kept.l_orderkey == fields.o_orderkey)
+    return j.groupBy(F.col("l_suppkey").alias("jar_id"), F.col("l_returnflag").alias("counter_group"),
+                     F.col("l_partkey").alias("set_id"), F.col("o_orderpriority").alias("session")) \
+            .agg(F.count(F.lit(1)).alias("n_cells"))
