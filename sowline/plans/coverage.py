@@ -274,3 +274,21 @@ def q_cells_per_jar(spark, base):
     return j.groupBy(F.col("l_suppkey").alias("jar_id"), F.col("l_returnflag").alias("counter_group"),
                      F.col("l_partkey").alias("set_id"), F.col("o_orderpriority").alias("session")) \
             .agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@register("sessions_shipped", sql="""
+SELECT CAST(o_orderdate AS DATE) AS ship_date, p_brand AS site, count(DISTINCT p_type) AS n_sessions
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+GROUP BY 1, 2""")
+def q_sessions_shipped(spark, base):
+    o, li, p = T(spark, base, "orders"), T(spark, base, "lineitem"), T(spark, base, "part")
+    # shipment records carry their set ids as text (array<string>)
+    ids = li.groupBy("l_orderkey").agg(
+        F.collect_list(F.col("l_partkey").cast("string")).alias("set_ids"))
+    shipments = ids.join(o, ids.l_orderkey == o.o_orderkey) \
+                   .select(utc_day("o_orderdate").alias("ship_date"), "set_ids")
+    sets = unnest(shipments, "set_ids", "set_id")
+    # join on the id cast back to a number (J7); try_cast keeps dirty ids out
+    j = sets.join(p, sets.set_id.try_cast("long") == p.p_partkey)
+    return j.groupBy("ship_date", F.col("p_brand").alias("site")) \
+            .agg(F.countDistinct("p_type").alias("n_sessions"))
