@@ -79,3 +79,19 @@ def write_results(results: Mapping[str, DataFrame], out_dir: str, fmt: str = "pa
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """LIMIT n (head); the limit is the feature here."""
     return df.limit(n)
+
+
+# Declared schemas of the two exported planning sheets (S5); the plot count
+# column is "Plots" in one sheet and "SRE" in the other.
+PLAN_SHEET_SCHEMAS = {
+    "yield": "Year int, Crop string, Plots double, Rows_Per_Plot double",
+    "nursery": "Year int, Crop string, SRE double, Rows_Per_Plot double",
+}
+
+
+def read_plan_sheet(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """An exported planning sheet (CSV with header) with its declared schema,
+    the plot count renamed to ``plots``."""
+    df = read_csv(spark, path, PLAN_SHEET_SCHEMAS[kind])
+    plots = "Plots" if kind == "yield" else "SRE"
+    return df.withColumnRenamed(plots, "plots")

@@ -31,3 +31,21 @@ def test_release_workbook_writes_named_results(spark):
     paths = release_workbook(spark, "/root/testdata/sf0.001", out)
     assert set(paths) == {"cells_with_dates", "release_date_pivot"}
     assert read_materialized(spark, paths["release_date_pivot"]).count() > 0
+
+
+def test_plan_sheet_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from sowline.operators.planning import plan_totals, plan_units
+    from sowline.sources.tables import read_plan_sheet
+    out = tempfile.mkdtemp(prefix="sowline-sheet-")
+    sheet = constants(spark, [(2025, "Corn", 10.0, None), (2025, "Soy", 4.0, 1.0),
+                              (2026, "Corn", 6.0, 3.0)],
+                      "Year int, Crop string, Plots double, Rows_Per_Plot double")
+    sheet.coalesce(1).write.option("header", True).csv(os.path.join(out, "yield"))
+    plan = read_plan_sheet(spark, os.path.join(out, "yield"), "yield")
+    units = plan_units(plan, "plots", "Rows_Per_Plot", 2.0)
+    got = {r.Year: (r.cells, r.packets) for r in plan_totals(units, ["Year"]).collect()}
+    # null rows -> 2: cells 20, packets 10; one row: 4 / 4; three rows: 18 / 9
+    assert got == {2025: (24.0, 14.0), 2026: (18.0, 9.0)}
+    assert units.where(F.col("rows_per_plot_filled") == 2.0).count() == 1
