@@ -347,3 +347,39 @@ def test_event_time_helpers_ignore_session_zone(spark):
         assert out[0][0] == 1710063000 * 1_000_000 and out[0][2] == dt.date(2024, 3, 10)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_r1_observation_pivot_two_values_and_none(spark):
+    from sowline.operators.reshape import pivot_listagg
+    obs = spark.createDataFrame([("p1", "HT", "12"), ("p1", "HT", "10"), ("p1", "MST", "3"),
+                                 ("p2", "MST", None), ("p2", "MST", "4")],
+                                "plot string, trait string, v string")
+    got = {r.plot: (r.HT, r.MST, r.YLD) for r in pivot_listagg(
+        obs, ["plot"], "trait", {"HT": "HT", "MST": "MST", "YLD": "YLD"}, "v").collect()}
+    assert got == {"p1": ("10,12", "3", None), "p2": (None, "4", None)}
+
+
+def test_c49_runtime_cutoff_and_c50_zero_hours(spark):
+    from sowline.operators.machines import machine_runtime, plots_per_hour
+    us = 1_000_000
+    rows = [("S", "m", dt.date(2024, 1, 1), 1, 0, 3600 * 19 * us, 0),      # 19 h: dropped (>= 18)
+            ("S", "m", dt.date(2024, 1, 2), 2, 0, 0, 400 * us),            # gap > 300 s: not run time
+            ("S", "m", dt.date(2024, 1, 3), 3, 0, 0, 300 * us)]            # gap == 300 s: run time
+    df = spark.createDataFrame(rows, "site string, machine string, date date, plot_id long, "
+                                     "start_us long, processing_us long, downtime_us long")
+    rt = {r.date: r.runtime_seconds for r in machine_runtime(df).collect()}
+    assert rt == {dt.date(2024, 1, 2): 0.0, dt.date(2024, 1, 3): 300.0}
+    pph = {r.date: r.plots_per_hour for r in plots_per_hour(machine_runtime(df)).collect()}
+    assert pph[dt.date(2024, 1, 2)] is None                               # 0 hours: null, not inf
+    assert pph[dt.date(2024, 1, 3)] == 1 / 0.08
+
+
+def test_m19_second_marker_only(spark):
+    from sowline.functions.text import substr_from_marker
+    df = spark.createDataFrame([("xx SEC-9",)], "s string")
+    first = substr_from_marker("s", "MK", 4)
+    second = substr_from_marker("s", "SEC", 5)
+    # INSTR returns 0 -> SUBSTR from position 1: the first branch is never null,
+    # so an NVL to the second marker never fires (the source's behaviour)
+    r = df.select(F.coalesce(first, second).alias("v")).first()
+    assert r.v == "xx S"
