@@ -5,19 +5,20 @@ the values at ranks floor(h) and floor(h)+1, h = p * (n - 1).  Spark's
 ``percentile`` gives the same numbers but merges every distinct value of a
 group in one task, which breaks down when one group holds a third of the data.
 
-``exact_quantiles`` finds the ranked values through a histogram instead:
+``exact_quantiles`` finds the ranked values through histograms instead:
 
-1. every value gets an order-preserving bucket key made of its binary
-   exponent and the top ``mantissa_bits`` bits of its mantissa (no pass over
-   the data is needed to choose the buckets);
-2. counts per (group, bucket) -- partial aggregation, at most a few
-   thousand rows per group whatever the group size;
+1. every value gets an order-preserving key made of its binary exponent and
+   its mantissa bits, 16 bits per level (no pass over the data is needed to
+   choose the buckets);
+2. counts per (group, level-0 bucket) -- partial aggregation, a bounded
+   number of rows per group whatever the group size;
 3. cumulative counts over the buckets of a group locate the bucket holding
-   each target rank;
-4. only the distinct values of those buckets are sorted, each bucket by
-   itself (a 2^-16 relative value range).
+   each target rank; the next level repeats this with the next 16 bits inside
+   the chosen bucket only;
+4. only the distinct values of the innermost chosen buckets are sorted, each
+   bucket by itself: at most 2^(52 - 16 * levels) distinct values.
 
-Every shuffle moves counts or one bucket, never a whole group, and the
+Every shuffle moves counts or chosen buckets, never a whole group, and the
 answer is exact.
 """
 
@@ -33,76 +34,109 @@ from sowline.functions.numeric import lerp, round_half_even
 DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def with_order_bucket(df: DataFrame, v: str, out: str, mantissa_bits: int = 16) -> DataFrame:
-    """Add a monotone (non-decreasing) long key of double column ``v``: sign,
-    binary exponent and the top ``mantissa_bits`` mantissa bits.
+LEVEL_BITS = 16
 
-    Built in steps (one column each) so the expression tree stays small.
+
+def with_order_buckets(df: DataFrame, v: str, levels: int = 2) -> DataFrame:
+    """Add ``__b0 .. __b{levels-1}``: together a monotone key of double ``v``.
+
+    ``__b0`` holds the sign, the binary exponent and the top 16 mantissa bits;
+    each further level the next 16 bits (reversed for negative values so the
+    keys keep the value order).  Values equal in all levels differ at most in
+    the last 52 - 16 * levels mantissa bits.  Built in steps (one column each)
+    so the expression tree stays small.
     """
-    scale = float(1 << mantissa_bits)
     a, e0, e = F.col("__oa"), F.col("__oe0"), F.col("__oe")
+    mask = (1 << LEVEL_BITS) - 1
     big = F.lit(1 << 62)
-    return (df
-            .withColumn("__oa", F.abs(F.col(v)))
-            .withColumn("__oe0", F.floor(F.log2(a)).cast("long"))
-            # log2 may be off by one next to a power of two: correct it exactly
-            .withColumn("__oe", F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
-                        .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1).otherwise(e0))
-            .withColumn("__om", F.least(F.greatest(
-                F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(scale)).cast("long"),
-                F.lit(0)), F.lit((1 << mantissa_bits) - 1)))
-            .withColumn(out, F.when(F.col(v) == 0, F.lit(0))
-                        .when(a == float("inf"), F.when(F.col(v) > 0, big).otherwise(-big))
-                        .otherwise(F.signum(F.col(v)).cast("long")
-                                   * ((e + F.lit(1100)) * F.lit(1 << mantissa_bits)
-                                      + F.col("__om") + F.lit(1))).cast("long"))
-            .drop("__oa", "__oe0", "__oe", "__om"))
+    out = (df
+           .withColumn("__oa", F.abs(F.col(v)))
+           .withColumn("__oe0", F.floor(F.log2(a)).cast("long"))
+           # log2 may be off by one next to a power of two: correct it exactly
+           .withColumn("__oe", F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
+                       .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1).otherwise(e0))
+           # all 52 fraction bits as an exact integer (scaling by powers of two is exact)
+           .withColumn("__om", F.least(F.greatest(
+               F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(float(1 << 52))).cast("long"),
+               F.lit(0)), F.lit((1 << 52) - 1))))
+    top = F.shiftright(F.col("__om"), 52 - LEVEL_BITS)
+    neg = F.col(v) < 0
+    out = out.withColumn("__b0", F.when(F.col(v) == 0, F.lit(0))
+                         .when(a == float("inf"), F.when(F.col(v) > 0, big).otherwise(-big))
+                         .otherwise(F.signum(F.col(v)).cast("long")
+                                    * ((e + F.lit(1100)) * F.lit(1 << LEVEL_BITS) + top + F.lit(1)))
+                         .cast("long"))
+    for i in range(1, levels):
+        k = F.shiftright(F.col("__om"), 52 - LEVEL_BITS * (i + 1)).bitwiseAND(F.lit(mask))
+        out = out.withColumn(f"__b{i}", F.when((F.col(v) == 0) | (a == float("inf")), F.lit(0))
+                             .when(neg, F.lit(mask) - k).otherwise(k).cast("long"))
+    return out.drop("__oa", "__oe0", "__oe", "__om")
 
 
 def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
-                    probs: Mapping[str, float], mantissa_bits: int = 16) -> DataFrame:
+                    probs: Mapping[str, float], levels: int = 2) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (name -> p).
 
     Null and NaN values are ignored and rows with a null group key are
     dropped, as pandas ``groupby`` does.  Groups with no value are absent.
+    ``levels`` bucket levels of 16 mantissa bits each: the final sort of a
+    chosen bucket holds at most 2^(52 - 16 * levels) distinct values (2^20
+    with the default), whatever the data.
     """
     g = list(group_by)
     keep = F.col("__v").isNotNull() & ~F.isnan("__v")
     for c in g:
         keep = keep & F.col(c).isNotNull()
-    vals = with_order_bucket(
-        df.select(*g, F.col(value).cast("double").alias("__v")).where(keep), "__v", "__b",
-        mantissa_bits)
-    # explicit: the join below would otherwise infer this filter on one branch
-    # only, and the two uses of ``dist`` could no longer share one exchange
-    vals = vals.where(F.col("__b").isNotNull())
-    dist = vals.groupBy(*g, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    hist = dist.groupBy(*g, "__b").agg(F.sum("__c").alias("__cnt"))
+    vals = with_order_buckets(
+        df.select(*g, F.col(value).cast("double").alias("__v")).where(keep), "__v", levels)
+    bcols = [f"__b{i}" for i in range(levels)]
+    # explicit: a join below would otherwise infer this filter on one branch
+    # only, and the uses of ``dist`` could no longer share one exchange
+    vals = vals.where(F.col("__b0").isNotNull())
+    dist = vals.groupBy(*g, *bcols, "__v").agg(F.count(F.lit(1)).alias("__c"))
+
+    # level 0: histogram per group; targets are the ranks floor(h), floor(h)+1
+    hist = dist.groupBy(*g, "__b0").agg(F.sum("__c").alias("__cnt"))
     wg = Window.partitionBy(*g)
     hist = (hist
             .withColumn("__start", F.coalesce(F.sum("__cnt").over(
-                wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                wg.orderBy("__b0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("__n", F.sum("__cnt").over(wg)))
-    # target ranks: for each prob the neighbours floor(h) and min(floor(h)+1, n-1)
     names = list(probs)
     tgt = F.array(*[
         F.struct(F.lit(i).alias("q"), F.lit(float(probs[name])).alias("p"), F.lit(side).alias("side"))
         for i, name in enumerate(names) for side in (0, 1)])
-    t = (hist.select(*g, "__b", "__start", "__cnt", "__n", F.explode(tgt).alias("__t"))
+    t = (hist.select(*g, "__b0", "__start", "__cnt", "__n", F.explode(tgt).alias("__t"))
          .withColumn("__h", F.col("__t.p") * (F.col("__n") - 1).cast("double"))
          .withColumn("__k0", F.floor("__h").cast("long"))
          .withColumn("__k", F.when(F.col("__t.side") == 0, F.col("__k0"))
                      .otherwise(F.least(F.col("__k0") + 1, F.col("__n") - 1))))
     chosen = (t.where((F.col("__k") >= F.col("__start"))
                       & (F.col("__k") < F.col("__start") + F.col("__cnt")))
-              .select(*g, "__b", F.col("__t.q").alias("__q"), F.col("__t.side").alias("__side"),
+              .select(*g, "__b0", F.col("__t.q").alias("__q"), F.col("__t.side").alias("__side"),
                       (F.col("__h") - F.col("__k0").cast("double")).alias("__frac"),
                       (F.col("__k") - F.col("__start")).alias("__k")))
-    # rows of the chosen buckets only, once per target that points into them
-    # (at most two per probability), each (group, bucket, target) sorted alone
-    cand = dist.join(chosen, on=g + ["__b"], how="inner")
-    wb = (Window.partitionBy(*g, "__b", "__q", "__side").orderBy("__v")
-          .rowsBetween(Window.unboundedPreceding, 0))
+    # rows of the chosen buckets only, once per target pointing into them
+    # (at most two per probability)
+    tkeys = ["__q", "__side"]
+    cand = dist.join(chosen, on=g + ["__b0"], how="inner")
+    # deeper levels: histogram of the next 16 bits inside each chosen bucket
+    for i in range(1, levels):
+        b = f"__b{i}"
+        path = g + tkeys + [f"__b{j}" for j in range(i)]
+        h = cand.groupBy(*path, b).agg(F.sum("__c").alias("__cnt"), F.first("__k").alias("__kk"),
+                                       F.first("__frac").alias("__ff"))
+        h = h.withColumn("__start", F.coalesce(F.sum("__cnt").over(
+            Window.partitionBy(*path).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)))
+        pick = (h.where((F.col("__kk") >= F.col("__start"))
+                        & (F.col("__kk") < F.col("__start") + F.col("__cnt")))
+                .select(*path, b, (F.col("__kk") - F.col("__start")).alias("__k2")))
+        cand = (cand.join(pick, on=path + [b], how="inner")
+                .withColumn("__k", F.col("__k2")).drop("__k2"))
+    # final: the distinct values of each chosen innermost bucket, sorted alone
+    part = g + tkeys + bcols
+    wb = Window.partitionBy(*part).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (cand.withColumn("__end", F.sum("__c").over(wb))
               .where((F.col("__end") - F.col("__c") <= F.col("__k")) & (F.col("__k") < F.col("__end"))))
     aggs = []

@@ -95,8 +95,8 @@ def _pandas_quantile(vals, p):
     return float(pd.Series(vals).quantile(p))
 
 
-@pytest.mark.parametrize("bits", [4, 16])
-def test_exact_quantiles_against_pandas(spark, bits):
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_exact_quantiles_against_pandas(spark, levels):
     rnd = random.Random(7)
     data = []
     for g in range(5):
@@ -105,10 +105,11 @@ def test_exact_quantiles_against_pandas(spark, bits):
             data.append((f"g{g}", rnd.choice([rnd.uniform(-1e3, 1e3), rnd.randint(-3, 3) * 1.0,
                                                 0.0, -0.0, 1e-300, 5e15])))
     data += [("hot", float(i % 97) * 0.25) for i in range(3000)]     # one big group, many ties
+    data += [("narrow", 1.7e9 + i * 1e-3) for i in range(500)]       # one 2^-16 bucket: deeper levels
     data += [(None, 1.0), ("g2", None), ("g3", float("nan"))]
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, mantissa_bits=bits).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, levels=levels).collect()}
     pdf = pd.DataFrame(data, columns=["g", "v"]).dropna()
     assert set(got) == set(pdf.g.unique())          # null key dropped like pandas (M10)
     for g, grp in pdf.groupby("g"):
