@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sowline.config import Declares
 from sowline.functions.dates import local_day, ntz, utc_day
 from sowline.operators.aggregates import zero_fill
 from sowline.operators.dims import calendar, machine_dim
@@ -21,11 +22,13 @@ from sowline.operators.windows import running_total
 from sowline.plans.registry import register
 from sowline.sources.tables import read_table
 
-EV_START, EV_END = dt.date(2024, 1, 1), dt.date(2024, 2, 4)
-EVENT_TYPES = ("click", "view", "purchase", "signup", "error", "refund")
-SITES = ("S0", "S1", "S2")
-LOCAL_TZ = "America/Chicago"
-FEED_START, FEED_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+# the "declares" of the event and feed reports
+EVENTS = Declares(dt.date(2024, 1, 1), dt.date(2024, 2, 4), sites=("S0", "S1", "S2"),
+                  labels=("click", "view", "purchase", "signup", "error", "refund"))
+FEEDS = Declares(dt.date(1998, 1, 1), dt.date(1998, 12, 31), sites=("S0", "S1"))
+EV_START, EV_END = EVENTS.start_date, EVENTS.end_date
+EVENT_TYPES, SITES, LOCAL_TZ = EVENTS.labels, EVENTS.sites, EVENTS.local_time_zone
+FEED_START, FEED_END = FEEDS.start_date, FEEDS.end_date
 # category lists checked in order: '2-HIGH' is in both and becomes cat3 (M9)
 CAT3 = ("1-URGENT", "2-HIGH")
 CAT2 = ("2-HIGH", "3-MEDIUM")
@@ -137,7 +140,7 @@ def q_three_feed_union(spark, base):
     r = li.where(F.col("l_returnflag") == "R").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     feeds = union_all([a.withColumn("site", F.lit("S0")), n.withColumn("site", F.lit("S1")),
                        r.withColumn("site", F.lit("S0"))])
-    dim = calendar(spark, FEED_START, FEED_END, ("S0", "S1"))
+    dim = calendar(spark, FEED_START, FEED_END, FEEDS.sites)
     daily = zero_fill(dim, feeds, [("day", "day"), ("site", "site")], "n", mode="dense",
                       out="counted")
     run = running_total(daily, "counted", ["site"], ["day"], out="total")
