@@ -31,9 +31,9 @@ def zero_fill(dim: DataFrame, facts: DataFrame, on: Sequence[tuple[str, str]],
     """Calendar LEFT JOIN facts, SUM(value) with 0 for missing.
 
     ``on``: pairs (dim column, fact column).
-    * ``faithful`` (M2/M3): group by the dim keys plus ``group_right`` taken
-      from the *fact* side, as the source does, so unmatched dim rows collapse
-      into one row with null fact labels;
+    * ``faithful`` (M2/M3): group by the dim's first column (the day) plus
+      ``group_right`` taken from the *fact* side, as the source does, so
+      unmatched dim rows of a day collapse into one row with null fact labels;
     * ``dense``: group by the dim columns only (the caller puts every label in
       the dim), one row per dim row.
     The dim is parameter-sized (days x sites) and, being the preserved side of

@@ -39,14 +39,24 @@ def concat_unnest(df: DataFrame, arrays: Sequence[str], alias: str) -> DataFrame
     return df.select("*", F.explode(F.concat(*[F.col(a) for a in arrays])).alias(alias))
 
 
-def nest_children(df: DataFrame, key: Sequence[str], fields: Sequence[str], out: str) -> DataFrame:
+def nest_children(df: DataFrame, key: Sequence[str], fields: Sequence[str], out: str,
+                  max_children: int | None = None) -> DataFrame:
     """One row per key with an array of child structs, in a fixed (sorted) order.
 
-    The array is the whole child list of the key by definition; children are
-    per-record lists (sets of one inventory), not open-ended event streams.
+    With ``max_children`` a key holding more children is split into
+    ceil(n / max_children) rows (``part_no``, about max_children children each),
+    children assigned by a hash of
+    their content, so no single row or task holds an unbounded list.  Nothing
+    is dropped: the union of a key's parts is its whole child list.
     """
-    return df.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(f) for f in fields]))).alias(out))
+    child = F.struct(*[F.col(f) for f in fields])
+    if max_children is None:
+        return df.groupBy(*key).agg(F.array_sort(F.collect_list(child)).alias(out))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))     # partial aggregation
+    parts = F.ceil(F.col("__n") / F.lit(float(max_children))).cast("long")
+    tagged = df.join(counts, on=list(key)).withColumn(
+        "part_no", F.pmod(F.xxhash64(*[F.col(f) for f in fields]), parts))
+    return tagged.groupBy(*key, "part_no").agg(F.array_sort(F.collect_list(child)).alias(out))
 
 
 def kv_lookup(array_col: str, key_field: str, value_field: str, key: str) -> Column:

@@ -3,7 +3,7 @@
 Scale notes
 -----------
 * No operator here plans a nested-loop join: the disjunctive join is two equi
-  joins, NOT IN is an anti join plus a one-row null/empty check.
+  joins, NOT IN is an anti join plus two scalar subqueries (row and null count).
 * Lookups built from data (distinct dims, per-key aggregates) are left to
   AQE: it broadcasts them when their measured size is under
   ``spark.sql.autoBroadcastJoinThreshold`` and otherwise keeps a shuffle join,

@@ -53,11 +53,10 @@ def next_in_group(df: DataFrame, value: str, partition_by: Sequence[str], order_
     inner = (keyed
              .withColumn(out, F.lead(value).over(w))
              .withColumn("__last", F.lead(F.lit(1)).over(w).isNull()))
-    # first value of each sub-group, then the first value of the following
-    # non-empty sub-group: one row per sub-group, partial-aggregated.
-    # one row per sub-group with its first value (partial aggregation).  When
-    # the carried value is the leading ordering column, the first value is
-    # simply its minimum (a hash aggregate); otherwise min_by over the ordering.
+    # one row per sub-group with its first value (partial aggregation), then
+    # the first value of the following non-empty sub-group.  When the carried
+    # value is the leading ordering column, the first value is simply its
+    # minimum (a hash aggregate); otherwise min_by over the ordering.
     if value == order[0]:
         first = F.min(F.col(value))
     else:

@@ -14,6 +14,7 @@ from sowline.operators.nested import nest_children
 from sowline.plans.registry import register
 from sowline.sources.tables import read_table
 
+MAX_CHILDREN = 1000
 PCT_SQL = "CAST(filled_entries AS DOUBLE) * 100.0 / CAST(total_entries AS DOUBLE)"
 
 
@@ -114,12 +115,15 @@ def q_latest_status_date(spark, base):
 
 
 @register("nest_children", sql="""
-SELECT o_custkey, CAST(to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}
-                               ORDER BY o_orderkey, o_orderstatus)) AS VARCHAR) AS orders_json,
+SELECT o_custkey, CAST(0 AS BIGINT) AS part_no,
+       CAST(to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}
+                         ORDER BY o_orderkey, o_orderstatus)) AS VARCHAR) AS orders_json,
        count(*) AS n_orders
 FROM orders GROUP BY o_custkey""")
 def q_nest_children(spark, base):
     o = T(spark, base, "orders")
-    nested = nest_children(o, ["o_custkey"], ["o_orderkey", "o_orderstatus"], "orders")
-    return nested.select("o_custkey", F.to_json("orders").alias("orders_json"),
+    # at most 1000 children per row: a customer with more is split into parts
+    nested = nest_children(o, ["o_custkey"], ["o_orderkey", "o_orderstatus"], "orders",
+                           max_children=MAX_CHILDREN)
+    return nested.select("o_custkey", "part_no", F.to_json("orders").alias("orders_json"),
                          F.size("orders").cast("long").alias("n_orders"))

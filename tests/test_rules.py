@@ -384,3 +384,15 @@ def test_m19_second_marker_only(spark):
     # so an NVL to the second marker never fires (the source's behaviour)
     r = df.select(F.coalesce(first, second).alias("v")).first()
     assert r.v == "xx S"
+
+
+def test_n7_nest_children_bounded_parts(spark):
+    from sowline.operators.nested import nest_children
+    rows = [("hot", i) for i in range(250)] + [("cold", 1), ("cold", 2)]
+    df = spark.createDataFrame(rows, "k string, child long")
+    whole = {r.k: [c.child for c in r.kids] for r in nest_children(df, ["k"], ["child"], "kids").collect()}
+    assert whole["cold"] == [1, 2] and whole["hot"] == list(range(250))
+    parts = nest_children(df, ["k"], ["child"], "kids", max_children=100).collect()
+    hot = [r for r in parts if r.k == "hot"]
+    assert len(hot) <= 3 and sorted(c.child for r in hot for c in r.kids) == list(range(250))
+    assert [(r.part_no, [c.child for c in r.kids]) for r in parts if r.k == "cold"] == [(0, [1, 2])]
