@@ -44,10 +44,10 @@ def nest_children(df: DataFrame, key: Sequence[str], fields: Sequence[str], out:
     """One row per key with an array of child structs, in a fixed (sorted) order.
 
     With ``max_children`` a key holding more children is split into
-    ceil(n / max_children) rows (``part_no``, about max_children children each),
-    children assigned by a hash of
-    their content, so no single row or task holds an unbounded list.  Nothing
-    is dropped: the union of a key's parts is its whole child list.
+    ceil(n / max_children) rows (``part_no``, about max_children children
+    each), children assigned by a hash of their content, so no single row or
+    task holds an unbounded list.  Nothing is dropped: the union of a key's
+    parts is its whole child list.
     """
     child = F.struct(*[F.col(f) for f in fields])
     if max_children is None:
