@@ -165,8 +165,13 @@ def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | N
     ``std`` is the sample standard deviation; count is cast to double like pandas.
     """
     g = list(group_by)
-    v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    raw = F.col(value).cast("double")
+    # NaN counts as missing (pandas); a group whose values are all missing
+    # stays, with count 0; rows with a null group key are dropped
+    base = df.select(*g, F.when(F.isnan(raw), F.lit(None)).otherwise(raw).alias("__dv"))
+    for c in g:
+        base = base.where(F.col(c).isNotNull())
+    v = F.col("__dv")
     aggs = {
         "count": F.count(v).cast("double"),
         "mean": F.avg(v),
@@ -178,7 +183,7 @@ def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | N
     qnames = {k: p for k, p in DESCRIBE_PROBS.items() if k in stats}
     if qnames:
         qfn = exact_quantiles if method == "exact" else builtin_quantiles
-        out = simple.join(qfn(base, g, value, qnames), on=g, how="left")
+        out = simple.join(qfn(base, g, "__dv", qnames), on=g, how="left")
     else:
         out = simple
     cols = []

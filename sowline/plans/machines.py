@@ -115,7 +115,7 @@ def _describe_sql(src: str, keys: str, v: str, digits: int | None = 1,
         "max": rnd(f"max({v})"),
     }
     sel = ", ".join(f"{exprs[s]} AS {s}" for s in stats)
-    w = f"WHERE {v} IS NOT NULL" + (f" AND {where}" if where else "")
+    w = f"WHERE {where}" if where else ""     # aggregates skip nulls; all-null groups stay
     return f"SELECT {keys}, {sel} FROM {src} {w} GROUP BY {keys}"
 
 

@@ -396,3 +396,12 @@ def test_n7_nest_children_bounded_parts(spark):
     hot = [r for r in parts if r.k == "hot"]
     assert len(hot) <= 3 and sorted(c.child for r in hot for c in r.kids) == list(range(250))
     assert [(r.part_no, [c.child for c in r.kids]) for r in parts if r.k == "cold"] == [(0, [1, 2])]
+
+
+def test_describe_keeps_all_missing_group_and_skips_nan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), ("b", None),
+                                (None, 5.0)], "g string, v double")
+    got = {r.g: r for r in describe(df, ["g"], "v", digits=None).collect()}
+    assert set(got) == {"a", "b"}                              # null key dropped (M10)
+    assert (got["a"]["count"], got["a"]["mean"], got["a"]["p50"]) == (2.0, 2.0, 2.0)
+    assert got["b"]["count"] == 0.0 and got["b"]["mean"] is None and got["b"]["p50"] is None
