@@ -39,24 +39,42 @@ def concat_unnest(df: DataFrame, arrays: Sequence[str], alias: str) -> DataFrame
     return df.select("*", F.explode(F.concat(*[F.col(a) for a in arrays])).alias(alias))
 
 
+def collect_bounded(df: DataFrame, key: Sequence[str], element: Column, out: str,
+                    max_len: int = 1000, sort: bool = False) -> DataFrame:
+    """Per-key arrays of ``element`` holding about ``max_len`` elements each.
+
+    Rows are (key..., part_no, out).  A key with n rows is split into
+    ceil(n / max_len) parts; rows are assigned by a hash of the whole input
+    row, so even a key holding a third of all rows is spread over many
+    bounded arrays (and tasks).  Nothing is dropped: the union of a key's
+    parts is its whole list.  The per-key counts are one partial aggregation
+    joined back (AQE splits a skewed key in that join).
+    """
+    k = list(key)
+    counts = df.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__n") / F.lit(float(max_len))).cast("long")
+    tagged = (df.join(counts, on=k)
+              .withColumn("part_no", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), parts)))
+    arr = F.collect_list(element)
+    if sort:
+        arr = F.array_sort(arr)
+    return tagged.groupBy(*k, "part_no").agg(arr.alias(out))
+
+
 def nest_children(df: DataFrame, key: Sequence[str], fields: Sequence[str], out: str,
                   max_children: int | None = None) -> DataFrame:
     """One row per key with an array of child structs, in a fixed (sorted) order.
 
     With ``max_children`` a key holding more children is split into
     ceil(n / max_children) rows (``part_no``, about max_children children
-    each), children assigned by a hash of their content, so no single row or
-    task holds an unbounded list.  Nothing is dropped: the union of a key's
-    parts is its whole child list.
+    each; see ``collect_bounded``), so no single row or task holds an
+    unbounded list.  Nothing is dropped: the union of a key's parts is its
+    whole child list.
     """
     child = F.struct(*[F.col(f) for f in fields])
     if max_children is None:
         return df.groupBy(*key).agg(F.array_sort(F.collect_list(child)).alias(out))
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))     # partial aggregation
-    parts = F.ceil(F.col("__n") / F.lit(float(max_children))).cast("long")
-    tagged = df.join(counts, on=list(key)).withColumn(
-        "part_no", F.pmod(F.xxhash64(*[F.col(f) for f in fields]), parts))
-    return tagged.groupBy(*key, "part_no").agg(F.array_sort(F.collect_list(child)).alias(out))
+    return collect_bounded(df, key, child, out, max_len=max_children, sort=True)
 
 
 def kv_lookup(array_col: str, key_field: str, value_field: str, key: str) -> Column:

@@ -11,7 +11,7 @@ from sowline.functions.dates import ntz, utc_day
 from sowline.functions.numeric import round_half_even
 from sowline.functions.text import first_word, substr_from_marker
 from sowline.operators.aggregates import string_agg
-from sowline.operators.nested import concat_unnest, filter_elements, unnest
+from sowline.operators.nested import collect_bounded, concat_unnest, filter_elements, unnest
 from sowline.operators.relational import not_in, union_all
 from sowline.plans import machines as PM
 from sowline.plans.registry import register
@@ -19,6 +19,7 @@ from sowline.sources.tables import read_table
 
 # Fixed value: packet barcodes that count start with P0 or a digit.
 PACKET_BARCODE = r"^P0|^\d"
+MAX_ARRAY = 1000    # elements per per-record array (see nested.collect_bounded)
 
 
 def T(spark, base, name):
@@ -111,8 +112,9 @@ SELECT l_orderkey, l_partkey AS id FROM lineitem
 UNION ALL SELECT l_orderkey, l_suppkey FROM lineitem""")
 def q_concat_unnest(spark, base):
     li = T(spark, base, "lineitem")
-    arr = li.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"),
-                                       F.collect_list("l_suppkey").alias("supps"))
+    arr = collect_bounded(li, ["l_orderkey"], F.struct("l_partkey", "l_suppkey"), "lines", MAX_ARRAY)
+    arr = arr.select("l_orderkey", F.transform("lines", lambda x: x["l_partkey"]).alias("parts"),
+                     F.transform("lines", lambda x: x["l_suppkey"]).alias("supps"))
     return concat_unnest(arr, ["parts", "supps"], "id").select("l_orderkey", "id")
 
 
@@ -120,9 +122,9 @@ def q_concat_unnest(spark, base):
 SELECT l_orderkey, CAST(l_quantity AS VARCHAR) AS value FROM lineitem WHERE l_linenumber = 1""")
 def q_array_filter(spark, base):
     li = T(spark, base, "lineitem")
-    arr = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(
+    arr = collect_bounded(li, ["l_orderkey"], F.struct(
         F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("code"),
-        F.col("l_quantity").cast("string").alias("value"))).alias("instructions"))
+        F.col("l_quantity").cast("string").alias("value")), "instructions", MAX_ARRAY)
     kept = filter_elements(arr, "instructions", lambda x: x["code"] == F.lit("L1"))
     return unnest(kept, "instructions", "i").select("l_orderkey", F.col("i.value").alias("value"))
 
@@ -283,8 +285,8 @@ GROUP BY 1, 2""")
 def q_sessions_shipped(spark, base):
     o, li, p = T(spark, base, "orders"), T(spark, base, "lineitem"), T(spark, base, "part")
     # shipment records carry their set ids as text (array<string>)
-    ids = li.groupBy("l_orderkey").agg(
-        F.collect_list(F.col("l_partkey").cast("string")).alias("set_ids"))
+    ids = collect_bounded(li, ["l_orderkey"], F.col("l_partkey").cast("string"), "set_ids",
+                          MAX_ARRAY)
     shipments = ids.join(o, ids.l_orderkey == o.o_orderkey) \
                    .select(utc_day("o_orderdate").alias("ship_date"), "set_ids")
     sets = unnest(shipments, "set_ids", "set_id")

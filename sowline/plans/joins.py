@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sowline.functions.dates import ntz, utc_day
-from sowline.operators.nested import unnest
+from sowline.operators.nested import collect_bounded, unnest
 from sowline.operators.relational import (in_list_flag, match_else, not_in, or_join, reconcile,
                                           union_distinct)
 from sowline.plans.registry import register
@@ -187,7 +187,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def q_first_shipments(spark, base):
     o, li = T(spark, base, "orders"), T(spark, base, "lineitem")
     # a shipment record = order day + the list of set ids it carries
-    shipments = (li.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("set_ids"))
+    shipments = (collect_bounded(li, ["l_orderkey"], F.col("l_partkey"), "set_ids", 1000)
                  .join(o, F.col("l_orderkey") == o.o_orderkey)
                  .select(utc_day("o_orderdate").alias("ship_date"), "set_ids"))
     return unnest(shipments, "set_ids", "set_id").select("set_id", "ship_date").distinct()

@@ -1,9 +1,10 @@
 """Nested-data family.
 
-Per-order arrays are built from ``lineitem`` (the lines of one order), so
-every array is bounded by its own record; orders without lines get a null
-array through the left join, which the inner unnest drops and the outer one
-keeps (M6, M7).
+Per-order arrays are built from ``lineitem`` (the lines of one order) with
+``collect_bounded``: an order with very many lines becomes several arrays of
+about ``MAX_ARRAY`` elements, so no row or task holds an unbounded list.
+Orders without lines get a null array through the left join, which the inner
+unnest drops and the outer one keeps (M6, M7).
 """
 
 from __future__ import annotations
@@ -12,20 +13,24 @@ from pyspark.sql import functions as F
 
 from sowline.functions.dates import utc_day
 from sowline.functions.text import coalesce_as_string
-from sowline.operators.nested import kv_pivot, unnest, unnest_nested, unnest_pairs
+from sowline.operators.nested import (collect_bounded, kv_pivot, unnest, unnest_nested,
+                                     unnest_pairs)
 from sowline.operators.reshape import pivot_listagg
 from sowline.plans.registry import register
 from sowline.sources.tables import read_table
 
 
+MAX_ARRAY = 1000
+
+
 def T(spark, base, name):
     return read_table(spark, base, name)
 
 
 def _order_lines(spark, base):
     o = T(spark, base, "orders").select("o_orderkey")
-    lines = T(spark, base, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list("l_linenumber").alias("lines"))
+    lines = collect_bounded(T(spark, base, "lineitem"), ["l_orderkey"], F.col("l_linenumber"),
+                            "lines", MAX_ARRAY)
     return o.join(lines, o.o_orderkey == lines.l_orderkey, "left").select("o_orderkey", "lines")
 
 
@@ -47,11 +52,12 @@ l AS (SELECT l_orderkey AS k, l_linenumber AS line FROM lineitem)
 SELECT f.k AS l_orderkey, f.flag, l.line FROM f JOIN l ON f.k = l.k""")
 def q_unnest_double(spark, base):
     li = T(spark, base, "lineitem")
-    arr = li.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"),
-                                       F.collect_list("l_linenumber").alias("lines"))
-    # flags per order are at most the three return flags: the product per row
-    # is bounded by 3 x lines of the order
-    return unnest_pairs(arr, "flags", "flag", "lines", "line")
+    # flags per order are at most the three return flags (a set over a fixed
+    # domain); lines come in bounded parts, so each row's product is bounded
+    flags = li.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
+    lines = collect_bounded(li, ["l_orderkey"], F.col("l_linenumber"), "lines", MAX_ARRAY)
+    arr = flags.join(lines, "l_orderkey")
+    return unnest_pairs(arr, "flags", "flag", "lines", "line").select("l_orderkey", "flag", "line")
 
 
 @register("unnest_nested", sql="""
@@ -60,10 +66,10 @@ def q_unnest_nested(spark, base):
     li = T(spark, base, "lineitem")
     # one record per order: entries (one per line status) each holding its
     # materials (line number, part) -- two array levels inside one record
-    entries = li.groupBy("l_orderkey", "l_linestatus").agg(F.collect_list(
-        F.struct("l_linenumber", "l_partkey")).alias("materials"))
-    orders = entries.groupBy("l_orderkey").agg(F.collect_list(
-        F.struct("l_linestatus", "materials")).alias("entries"))
+    entries = collect_bounded(li, ["l_orderkey", "l_linestatus"],
+                              F.struct("l_linenumber", "l_partkey"), "materials", MAX_ARRAY)
+    orders = collect_bounded(entries, ["l_orderkey"], F.struct("l_linestatus", "materials"),
+                             "entries", MAX_ARRAY)
     flat = unnest_nested(orders, "entries", "e", "materials", "m")
     return flat.select("l_orderkey", F.col("e.l_linestatus").alias("l_linestatus"),
                        F.col("m.l_linenumber").alias("l_linenumber"),
@@ -80,9 +86,9 @@ SELECT l_orderkey, CAST(q1 AS DOUBLE) AS q1, CAST(q2 AS DOUBLE) AS q2,
        CAST(q1 * q2 AS DOUBLE) AS product FROM kv""")
 def q_kv_pivot_product(spark, base):
     li = T(spark, base, "lineitem")
-    arr = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(
+    arr = collect_bounded(li, ["l_orderkey"], F.struct(
         F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("code"),
-        F.col("l_quantity").cast("string").alias("value"))).alias("instructions"))
+        F.col("l_quantity").cast("string").alias("value")), "instructions", MAX_ARRAY)
     kv = kv_pivot(arr, ["l_orderkey"], "instructions", "code", "value", {"q1": "L1", "q2": "L2"})
     return kv.select("l_orderkey", F.col("q1").cast("double").alias("q1"),
                      F.col("q2").cast("double").alias("q2"),

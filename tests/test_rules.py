@@ -405,3 +405,14 @@ def test_describe_keeps_all_missing_group_and_skips_nan(spark):
     assert set(got) == {"a", "b"}                              # null key dropped (M10)
     assert (got["a"]["count"], got["a"]["mean"], got["a"]["p50"]) == (2.0, 2.0, 2.0)
     assert got["b"]["count"] == 0.0 and got["b"]["mean"] is None and got["b"]["p50"] is None
+
+
+def test_collect_bounded_splits_a_hot_key(spark):
+    from sowline.operators.nested import collect_bounded
+    rows = [("hot", i, i % 7) for i in range(5000)] + [("cold", 0, 1)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    parts = collect_bounded(df, ["k"], F.col("v"), "vs", max_len=1000).collect()
+    hot = [r for r in parts if r.k == "hot"]
+    assert len(hot) == 5 and max(len(r.vs) for r in hot) < 1300     # about max_len each
+    assert sorted(x for r in hot for x in r.vs) == sorted(i % 7 for i in range(5000))
+    assert [(r.part_no, r.vs) for r in parts if r.k == "cold"] == [(0, [1])]
