@@ -21,6 +21,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of materialize() go away with their DataFrames
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
