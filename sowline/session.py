@@ -28,21 +28,28 @@ DEFAULTS = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "sowline", extra: dict | None = None) -> SparkSession:
+    """Get or create the session.
+
+    ``DEFAULTS`` only fill settings nobody set (spark-submit / cluster
+    configuration and an already running session win); ``shuffle_partitions``
+    and ``extra`` are the caller's explicit choices and always apply.
+    """
+    from pyspark import SparkConf, SparkContext
+
+    explicit = dict(extra or {})
+    if shuffle_partitions:
+        explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULTS)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+    if SparkContext._active_spark_context is None:
+        launched = SparkConf()          # properties handed over by spark-submit, if any
+        for k, v in DEFAULTS.items():
+            if not launched.contains(k):
+                builder = builder.config(k, v)
+    for k, v in explicit.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    # getOrCreate may hand back an existing session: fill runtime SQL options
-    # only where the session has none of its own.
-    for k, v in conf.items():
-        if k.startswith("spark.sql.") and spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
