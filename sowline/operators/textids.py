@@ -38,6 +38,12 @@ def extract_ids(df: DataFrame, text: str, keep: Sequence[str],
     """
     keep = list(keep)
     base = df.select(*keep, F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    # regex scanning is CPU-bound: when the input arrives in fewer splits than
+    # the cluster has cores (a few large files), spread the rows first; on a
+    # large input with many splits this is a no-op (no extra shuffle)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < cores:
+        base = base.repartition(cores)
     simple = base.select(
         *keep,
         F.concat(
