@@ -104,13 +104,21 @@ def _release_dates(spark, base):
     return union_all([by_id, by_name])
 
 
-def attach_dates(spark, base, mode: str = "per_column"):
+def attach_dates(spark, base, mode: str = "per_column", null_names_match: bool = False):
+    """Release date by set id, else by set name; then duplicate removal.
+
+    A pandas merge also matches a null set name to every null name (M11).
+    That would pair each null-named cell with every id-only release row (all
+    pairs of the null group), so it is off by default; the source notes that
+    cells with a set id always carry a name, where both rules agree.
+    """
     cells, rel = _cells(spark, base), _release_dates(spark, base)
     with_id = cells.where(F.col("set_id").isNotNull())
     merged1 = with_id.join(rel, with_id.set_id == rel.rel_set_id, "left")
     retry = merged1.where(F.col("rel_date").isNull()).select(*cells.columns)
-    # a pandas merge would also match a null set name to null names
-    merged2 = retry.join(rel, retry.set_name.eqNullSafe(rel.rel_set_name), "left")
+    name_match = (retry.set_name.eqNullSafe(rel.rel_set_name) if null_names_match
+                  else retry.set_name == rel.rel_set_name)
+    merged2 = retry.join(rel, name_match, "left")
     rest = cells.where(F.col("set_id").isNull())
     # the union feeds the duplicate probe and every per-column membership test:
     # cut the lineage once (reliable checkpoint in the session's checkpoint
@@ -136,7 +144,7 @@ m1 AS (SELECT c.*, rel.* FROM cells c LEFT JOIN rel ON c.set_id = rel.rel_set_id
        WHERE c.set_id IS NOT NULL),
 m2 AS (SELECT c.*, rel.* FROM (SELECT cassette_id, cell_number, set_id, set_name, cat_type
                               FROM m1 WHERE rel_date IS NULL) c
-       LEFT JOIN rel ON c.set_name IS NOT DISTINCT FROM rel.rel_set_name),
+       LEFT JOIN rel ON c.set_name = rel.rel_set_name),
 rest AS (SELECT *, NULL::BIGINT AS rel_set_id, NULL::VARCHAR AS rel_set_name, NULL::DATE AS rel_date
          FROM cells WHERE set_id IS NULL),
 fin AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM rest),
