@@ -57,12 +57,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a scratch folder is created
-    and registered.
+    Only in local mode (tests, one machine) and only when the session has
+    none is a scratch folder created and registered.  On a cluster an unset
+    folder is an error: a machine-local folder would not survive executor
+    loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         current = tempfile.mkdtemp(prefix="sowline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
