@@ -49,3 +49,46 @@ def test_plan_sheet_round_trip(spark):
     # null rows -> 2: cells 20, packets 10; one row: 4 / 4; three rows: 18 / 9
     assert got == {2025: (24.0, 14.0), 2026: (18.0, 9.0)}
     assert units.where(F.col("rows_per_plot_filled") == 2.0).count() == 1
+
+
+class _FakeConf:
+    def __init__(self, values):
+        self.values = dict(values)
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+class _FakeContext:
+    def __init__(self, master, ckpt=None):
+        self.master, self._ckpt = master, ckpt
+
+    def getCheckpointDir(self):
+        return self._ckpt
+
+    def setCheckpointDir(self, d):
+        self._ckpt = d
+
+
+class _FakeSession:
+    def __init__(self, master, conf=None):
+        self.sparkContext = _FakeContext(master)
+        self.conf = _FakeConf(conf or {})
+
+
+def test_checkpoint_dir_rules():
+    import pytest
+    # a cluster must name a shared folder: no machine-local fallback
+    with pytest.raises(ValueError):
+        checkpoint_dir(_FakeSession("yarn"))
+    # the cluster's setting is used as is
+    s = _FakeSession("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert checkpoint_dir(s) == "hdfs:///shared/ckpt"
+    assert s.sparkContext.getCheckpointDir() == "hdfs:///shared/ckpt"
+    # local mode (tests) gets a scratch folder only when none is set
+    local = _FakeSession("local[2]")
+    d = checkpoint_dir(local)
+    assert os.path.isdir(d) and local.conf.get("spark.checkpoint.dir") == d
