@@ -1,4 +1,4 @@
 """All queries of the package; importing the modules fills the registry."""
 
-from sowline.llm import queries_dedup  # noqa: F401
+from sowline.llm import queries_dedup, queries_text  # noqa: F401
 from sowline.llm.registry import ORACLE, QUERIES  # noqa: F401
