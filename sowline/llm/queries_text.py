@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sowline.llm import quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from sowline.llm import bpe, quality
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -49,3 +52,12 @@ def op3(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines",
                          "quality.n_repeat_words", "quality.base_failed", "kept")
+
+
+@query("op10_byte_level_bpe")
+def op10(spark, sf_dir):
+    """Ids of every whole text and the text that they decode to."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
