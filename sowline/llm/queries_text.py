@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sowline.llm import bpe, quality
+from sowline.llm import bpe, decontaminate, quality
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -61,3 +61,9 @@ def op10(spark, sf_dir):
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark, sf_dir):
+    """Every document that holds a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
