@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sowline.llm import bpe, decontaminate, quality
+from sowline.llm import bpe, decontaminate, quality, secrets
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -67,3 +67,14 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     """Every document that holds a benchmark item, with the item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_secret_scans")
+def op6(spark, sf_dir):
+    """Base spans and all spans of every whole text."""
+    found, name = secrets.find(table(spark, sf_dir, "documents"))
+    spans = F.col(name)
+    of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+                        F.sha2(secrets.as_text(F.filter(spans, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+                        secrets.as_text(spans).alias("spans"))
