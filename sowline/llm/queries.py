@@ -1,4 +1,9 @@
 """All queries of the package; importing the modules fills the registry."""
 
+import corpus_pipeline
 from sowline.llm import queries_dedup, queries_text  # noqa: F401
-from sowline.llm.registry import ORACLE, QUERIES  # noqa: F401
+from sowline.llm.registry import ORACLE, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
