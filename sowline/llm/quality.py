@@ -178,7 +178,15 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged."""
+    """The rows of ``docs`` that pass, columns unchanged.
+
+    The verdict is a chain of array expressions.  A plain filter on it would
+    be pushed below the projections that hold its steps, and every step would
+    be worked out again for each use; a condition that counts rows stays where
+    it is.
+    """
     own = {c: unused(docs, f"plain_{c}") for c in docs.columns if c.lower() in ("quality", "kept")}
-    judged = judge(docs.withColumnsRenamed(own), labels).where("kept").drop("quality", "kept")
-    return judged.withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(docs.withColumnsRenamed(own), labels)
+    stays = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
+    return judged.where(stays).drop("quality", "kept").withColumnsRenamed({v: k for k, v in own.items()}).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
