@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sowline.llm import bpe, decontaminate, quality, secrets
+from sowline.llm import bpe, chat, decontaminate, quality, secrets
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -78,3 +78,37 @@ def op6(spark, sf_dir):
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
                         F.sha2(secrets.as_text(F.filter(spans, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
                         secrets.as_text(spans).alias("spans"))
+
+
+def chat_rows(spark, sf_dir):
+    """All conversations and conversation -7, whose texts hold control strings."""
+    own = spark.sql("select -7L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text "
+                    "from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+CHAT_SQL = """
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+              union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t as (select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) as prev,
+             length(regexp_replace(text, '([\\\\<\\[\\]])', 'x\\1', 'g')) as text_chars,
+             length(regexp_replace(role, '([\\\\<\\[\\]])', 'x\\1', 'g')) as role_chars from rows)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(text_chars + case when prev is not distinct from role then 3 else 4 + role_chars + 1 + 4 end)::bigint as formatted_chars
+from t group by conv_id
+"""
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8(spark, sf_dir):
+    """Digests of the turns and loss texts that the formatted texts hold."""
+    out = chat.read_back(chat.formatted(chat_rows(spark, sf_dir)))
+    joined = lambda rows, text: F.array_join(F.transform(rows, text), "")
+    loss = joined(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"])
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(joined(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), 256).alias("turns_sha256"),
+                      F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
