@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sowline.session import checkpoint_dir
@@ -88,14 +88,13 @@ def word_ids(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
-def with_block(docs: DataFrame, key: Column, rows: int | None = None) -> DataFrame:
-    """Add ``block``: documents dealt by a hash of ``key`` into blocks of about
-    ``BLOCK_DOCS``.
+def with_block(docs: DataFrame, key: str, size: int = BLOCK_DOCS) -> DataFrame:
+    """Add ``block``: rows dealt by a hash of ``key`` and text into blocks of
+    about ``size`` documents.
 
     A block is the unit that one Python call works on; per-block results are
     aggregated inside the block before any shuffle, so a word or passage that
     a third of all documents hold counts once per block.
     """
-    rows = docs.count() if rows is None else rows
-    n = max(1, -(-rows // BLOCK_DOCS))
-    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("long"))
+    n = max(1, -(-docs.count() // size))
+    return docs.withColumn("block", F.pmod(F.xxhash64(key, "text"), F.lit(n)).cast("long"))
