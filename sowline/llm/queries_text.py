@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sowline.llm import bpe, chat, decontaminate, quality, secrets
+from sowline.llm import bpe, chat, decontaminate, lattice, quality, secrets
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -112,3 +112,9 @@ def op8(spark, sf_dir):
                       F.sha2(joined(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), 256).alias("turns_sha256"),
                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_lm_scoring")
+def op4(spark, sf_dir):
+    """Base and lattice log10 probabilities of every whole text."""
+    return lattice.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
