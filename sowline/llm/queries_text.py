@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sowline.llm import bpe, chat, decontaminate, lattice, quality, secrets
+from sowline.llm import bpe, chat, decontaminate, lattice, quality, secrets, toxicity
 from sowline.llm.common import table
 from sowline.llm.registry import query
 
@@ -118,3 +118,10 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     """Base and lattice log10 probabilities of every whole text."""
     return lattice.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    """Toxicity of every whole text; 0.3 and more is predicted toxic."""
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
