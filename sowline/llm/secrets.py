@@ -31,7 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"^[A-Za-z_-]+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-PRIOR = 1.0             # added to every transition's count
+PRIOR = 1.0             # added to every character's count
+PULL = 5.0              # weight, in transitions, of the characters' own rates
 MARKOV_MIN = 20.0       # nats
 MASK = "[SECRET]"
 
@@ -93,14 +94,18 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     pairs = samples.select("random", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
     n = len(ALPHABET)
-    counts = {0: [[PRIOR] * n for _ in range(n)], 1: [[PRIOR] * n for _ in range(n)]}
+    counts = {0: [[0] * n for _ in range(n)], 1: [[0] * n for _ in range(n)]}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for r in pairs.groupBy("random", "pair").count().collect():
         if r.pair[0] in place and r.pair[1] in place:
             counts[r.random][place[r.pair[0]]][place[r.pair[1]]] += r["count"]
-    totals = {k: [sum(row) for row in table] for k, table in counts.items()}
-    return [math.log(counts[1][i][j] / totals[1][i]) - math.log(counts[0][i][j] / totals[0][i])
-            for i in range(n) for j in range(n)]
+
+    def log_chances(seen: list[list[int]]) -> list[float]:
+        """Transitions drawn towards how often the second character comes at all."""
+        ends = [sum(row[j] for row in seen) + PRIOR for j in range(n)]
+        return [math.log((seen[i][j] + PULL * ends[j] / sum(ends)) / (sum(seen[i]) + PULL)) for i in range(n) for j in range(n)]
+
+    return [a - b for a, b in zip(log_chances(counts[1]), log_chances(counts[0]))]
 
 
 def find(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> tuple[DataFrame, str]:
