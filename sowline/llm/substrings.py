@@ -13,7 +13,7 @@ covers it also starts in a document with a smaller id.
   not one a document.  A window over the anchor's hash tells each block which
   of its anchors two or more documents share.
 * Extension: only the windows around a shared anchor, at its shift, are hashed
-  in full (128 bits), once a block, with the smallest id that holds them.  The
+  in full (96 bits), once a block, with the smallest id that holds them.  The
   smallest id over all blocks goes back to the blocks, which remove words.
 
 Documents are shuffled once, by block; every other row is a few numbers.
@@ -90,7 +90,12 @@ class Block:
             ok = self.place[at] >= shift
             near[at[ok] - shift] = True
         starts = np.flatnonzero(near[:-1] & (self.left >= self.width))
-        return starts, _window_hashes(self.hashes, self.width, 1, starts), _window_hashes(self.hashes, self.width, 2, starts)
+        return starts, *self.pair(starts)
+
+    def pair(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the windows at ``starts``."""
+        return (_window_hashes(self.hashes, self.width, 1, starts),
+                _window_hashes(self.hashes, self.width, 2, starts) >> np.uint64(32))
 
 
 def _per_hash(hashes: list, ids: list, second: list | None = None):
@@ -121,7 +126,7 @@ def _anchor_rows(width: int):
             hashes.append(h)
             ids.append(block.ids[block.row[at]])
         (h,), low, high = _per_hash(hashes, ids)
-        return pa.table({"h": h, "block": np.full(len(h), key[0].as_py()), "low": low, "high": high})
+        return pa.table({"h": h, "holder": 2 * key[0].as_py() + (low < high).astype(np.int64)})
     return run
 
 
@@ -135,7 +140,7 @@ def _window_rows(width: int):
             second.append(b)
             ids.append(block.ids[block.row[at]])
         (a, b), low, high = _per_hash(first, ids, second)
-        return pa.table({"a": a, "b": b, "block": np.full(len(a), key[0].as_py()), "low": low, "high": high})
+        return pa.table({"a": a, "b": b.astype(np.uint32).view(np.int32), "holder": 2 * key[0].as_py() + (low < high).astype(np.int64), "low": low})
     return run
 
 
@@ -143,6 +148,7 @@ def _kept_rows(width: int):
     def run(key, docs, repeated):
         a, b, least = (np.asarray(repeated.column(c).combine_chunks()).astype(np.int64) if repeated.num_rows else np.zeros(0, np.int64)
                        for c in ("a", "b", "least"))
+        b = b & 0xFFFFFFFF
         order = np.lexsort([b, a])
         a, b, least = a[order], b[order], least[order]
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
@@ -173,8 +179,9 @@ def _all_windows(block: Block, high: np.ndarray):
     starts = np.flatnonzero(block.left >= block.width)
     x = _window_hashes(block.hashes, block.width, 1, starts).view(np.int64)
     known = high[np.minimum(np.searchsorted(high, x), len(high) - 1)] == x
-    starts, x = starts[known], x[known]
-    return starts, x, _window_hashes(block.hashes, block.width, 2, starts).view(np.int64)
+    starts = starts[known]
+    x, y = block.pair(starts)
+    return starts, x.view(np.int64), y.view(np.int64)
 
 
 def _smaller(a, b, least, x, y, ids) -> np.ndarray:
@@ -201,14 +208,14 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, block_docs: int = BLOCK_DO
         raise ValueError(f"windows have {PERIOD} words at least")
     dealt = with_block(docs.select(F.col("doc_id").alias("id"), "text"), "id", block_docs)
     blocks = lambda: dealt.groupBy("block")
-    anchors = blocks().applyInArrow(_anchor_rows(width), "h long, block long, low long, high long")
-    over = Window.partitionBy("h")
-    shared = (anchors.select("h", "block", (F.min("low").over(over) < F.max("high").over(over)).alias("shared"))
-              .where("shared").select("h", "block"))
-    windows = blocks().cogroup(shared.groupBy("block")).applyInArrow(
-        _window_rows(width), "a long, b long, block long, low long, high long")
-    over = Window.partitionBy("a", "b")
-    repeated = (windows.select("a", "b", "block", "high", F.min("low").over(over).alias("least"))
-                .where("least < high").select("a", "b", "block", "least"))
+    # holder: the block's number twice, plus 1 if two or more of its documents hold the hash
+    anchors = blocks().applyInArrow(_anchor_rows(width), "h long, holder long")
+    several = F.col("holder") % 2 == 1
+    block = F.shiftright("holder", 1).alias("block")
+    shared = (anchors.select("h", "holder", (several | (F.count("*").over(Window.partitionBy("h")) > 1)).alias("shared"))
+              .where("shared").select("h", block))
+    windows = blocks().cogroup(shared.groupBy("block")).applyInArrow(_window_rows(width), "a long, b int, holder long, low long")
+    repeated = (windows.select("a", "b", "holder", "low", F.min("low").over(Window.partitionBy("a", "b")).alias("least"))
+                .where(several | (F.col("low") > F.col("least"))).select("a", "b", block, "least"))
     return blocks().cogroup(repeated.groupBy("block")).applyInArrow(
         _kept_rows(width), "doc_id long, n_words long, n_removed long, kept string")
