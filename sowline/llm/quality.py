@@ -85,7 +85,10 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Data
     cut = cut.withColumn(names["keys"], F.sort_array(F.transform(
         hashes, lambda h, i: shift("shiftleft", shift("shiftright", h)) + i)))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    base = cut.withColumn("quality", F.struct(
+    # The counts are chains of array expressions.  A filter on them would be
+    # pushed below the projections that hold their steps, and each step would
+    # be worked out again for every use; a row-counting condition keeps it above.
+    base = cut.withColumn("quality", F.when(F.monotonically_increasing_id() >= 0, F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long").alias("n_symbols"),
@@ -93,7 +96,7 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Data
         _repeat_words(hashes, keys, low).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))).drop(*names.values())
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")))).drop(*names.values())
     q = F.col("quality")
     return base.withColumn("quality", F.struct(
         "quality.*",
@@ -178,15 +181,7 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, columns unchanged.
-
-    The verdict is a chain of array expressions.  A plain filter on it would
-    be pushed below the projections that hold its steps, and every step would
-    be worked out again for each use; a condition that counts rows stays where
-    it is.
-    """
+    """The rows of ``docs`` that pass, columns unchanged."""
     own = {c: unused(docs, f"plain_{c}") for c in docs.columns if c.lower() in ("quality", "kept")}
-    judged = judge(docs.withColumnsRenamed(own), labels)
-    stays = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
-    return judged.where(stays).drop("quality", "kept").withColumnsRenamed({v: k for k, v in own.items()}).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(docs.withColumnsRenamed(own), labels).where("kept").drop("quality", "kept")
+    return judged.withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
