@@ -71,8 +71,9 @@ def nth_working_day_after(start: Column, n: Column, saturdays: Column) -> Column
 def finish_date(start: Column, required: Column, daily: Column, saturdays: Column) -> Column:
     """C55 stage: start plus enough working days to reach ``required`` at ``daily`` per day.
 
-    n = ceil(required / daily); required <= 0 returns the start unchanged.
+    n = ceil(required / daily); required <= 0 returns the start unchanged, and
+    a daily amount of 0 never gets there: NULL.
     """
-    n = F.ceil(required.cast("double") / daily)
+    n = F.ceil(required.cast("double") / F.when(daily != 0, daily))
     return F.when(required.cast("double") <= 0, start).otherwise(
         nth_working_day_after(start, n, saturdays))

@@ -51,14 +51,15 @@ def with_order_buckets(df: DataFrame, v: str, levels: int = 2) -> DataFrame:
     big = F.lit(1 << 62)
     out = (df
            .withColumn("__oa", F.abs(F.col(v)))
-           .withColumn("__oe0", F.floor(F.log2(a)).cast("long"))
+           # infinities get buckets of their own below; their exponent is not used
+           .withColumn("__oe0", F.floor(F.log2(F.when(a == float("inf"), F.lit(1.0)).otherwise(a))).cast("long"))
            # log2 may be off by one next to a power of two: correct it exactly
            .withColumn("__oe", F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
                        .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1).otherwise(e0))
            # all 52 fraction bits as an exact integer (scaling by powers of two is exact)
-           .withColumn("__om", F.least(F.greatest(
+           .withColumn("__om", F.when(a == float("inf"), F.lit(0)).otherwise(F.least(F.greatest(
                F.floor((a / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(float(1 << 52))).cast("long"),
-               F.lit(0)), F.lit((1 << 52) - 1))))
+               F.lit(0)), F.lit((1 << 52) - 1)))))
     top = F.shiftright(F.col("__om"), 52 - LEVEL_BITS)
     neg = F.col(v) < 0
     out = out.withColumn("__b0", F.when(F.col(v) == 0, F.lit(0))
@@ -150,16 +151,8 @@ def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
                              for i, name in enumerate(names)])
 
 
-def builtin_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
-                      probs: Mapping[str, float]) -> DataFrame:
-    """Spark ``percentile`` (same numbers; one task per group in the final merge)."""
-    return df.groupBy(*group_by).agg(*[
-        F.percentile(F.col(value).cast("double"), float(p)).alias(k) for k, p in probs.items()])
-
-
 def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | None = 1,
-             stats: Sequence[str] = ("count", "mean", "std", "min", "p25", "p50", "p75", "max"),
-             method: str = "exact") -> DataFrame:
+             stats: Sequence[str] = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")) -> DataFrame:
     """pandas ``groupby(...)[value].describe()`` with optional numpy-style rounding.
 
     ``std`` is the sample standard deviation; count is cast to double like pandas.
@@ -182,8 +175,7 @@ def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | N
     simple = base.groupBy(*g).agg(*[aggs[s].alias(s) for s in aggs])
     qnames = {k: p for k, p in DESCRIBE_PROBS.items() if k in stats}
     if qnames:
-        qfn = exact_quantiles if method == "exact" else builtin_quantiles
-        out = simple.join(qfn(base, g, "__dv", qnames), on=g, how="left")
+        out = simple.join(exact_quantiles(base, g, "__dv", qnames), on=g, how="left")
     else:
         out = simple
     cols = []
@@ -195,8 +187,7 @@ def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | N
     return out.select(*g, *cols)
 
 
-def iqr_filter(df: DataFrame, group_by: Sequence[str], value: str, k: float = 1.5,
-               method: str = "exact") -> DataFrame:
+def iqr_filter(df: DataFrame, group_by: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
     """Keep rows with Q1 - k*IQR <= value <= Q3 + k*IQR within their group.
 
     The per-group bounds are a one-row-per-group table joined back on the group
@@ -204,8 +195,7 @@ def iqr_filter(df: DataFrame, group_by: Sequence[str], value: str, k: float = 1.
     skewed partitions.
     """
     g = list(group_by)
-    qfn = exact_quantiles if method == "exact" else builtin_quantiles
-    q = qfn(df, g, value, {"q1": 0.25, "q3": 0.75})
+    q = exact_quantiles(df, g, value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     bounds = q.select(*g, (F.col("q1") - F.lit(k) * iqr).alias("__lb"),
                       (F.col("q3") + F.lit(k) * iqr).alias("__ub"))

@@ -34,7 +34,6 @@ CAT3 = ("1-URGENT", "2-HIGH")
 CAT2 = ("2-HIGH", "3-MEDIUM")
 PRIORITY_CODES = {"p1": "1-URGENT", "p2": "2-HIGH", "p3": "3-MEDIUM", "p4": "4-NOT SPECIFIED",
                   "p5": "5-LOW"}
-BIG_ORDER = 450000.0
 # machine roster (serial -> site) and category lists checked in order: 'click'
 # is in both lists and becomes cat3 (M9); 'refund' is on the roster but has no events
 ROSTER = {"S0": ("click", "view", "error"), "S1": ("purchase", "signup", "refund")}
@@ -204,7 +203,7 @@ def q_category_columns(spark, base):
 
 @register("date_by_category_pivot", sql=f"""
 WITH c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, count(*) AS n FROM orders
-           WHERE o_totalprice > {BIG_ORDER} GROUP BY 1, 2)
+           GROUP BY 1, 2)
 SELECT year,
        max(CASE WHEN o_orderpriority = '1-URGENT' THEN n END) AS p1,
        max(CASE WHEN o_orderpriority = '2-HIGH' THEN n END) AS p2,
@@ -213,7 +212,7 @@ SELECT year,
        max(CASE WHEN o_orderpriority = '5-LOW' THEN n END) AS p5
 FROM c GROUP BY year""")
 def q_date_by_category_pivot(spark, base):
-    o = read_table(spark, base, "orders").where(F.col("o_totalprice") > F.lit(BIG_ORDER))
+    o = read_table(spark, base, "orders")
     counts = o.groupBy(F.year("o_orderdate").alias("year"), "o_orderpriority") \
               .agg(F.count(F.lit(1)).alias("n"))
     return pivot_table(counts, ["year"], "o_orderpriority", PRIORITY_CODES, "n", agg="max")

@@ -1,9 +1,9 @@
 """Machine processing family (C47-C52, A20-A25, W3-W4, W8) on ``events``.
 
 Mapping: site = parity of ``user_id`` ('S0' even, 'S1' odd), machine =
-``event_type``, plot = ``event_id``, start = ``ts`` (a UTC instant), finish =
-start + ``value`` seconds.  The run-time cut-off is 1 hour here (the driver's
-machine days run 0.2-1.2 h, so the source's 18 h would remove nothing).
+``user_id`` (machines grow with the data, a machine day does not), plot =
+``event_id``, start = ``ts`` (a UTC instant), finish = start + ``value``
+seconds.
 """
 
 from __future__ import annotations
@@ -18,15 +18,13 @@ from sowline.plans.registry import register
 from sowline.session import materialize
 from sowline.sources.tables import read_table
 
-RUNTIME_CUTOFF_TEST_HOURS = 1.0
-
 
 def machine_events(spark: SparkSession, base: str) -> DataFrame:
     ev = read_table(spark, base, "events")
     start = epoch_micros("ts")
     return ev.where(F.col("value").isNotNull()).select(
         F.when(F.col("user_id") % 2 == 0, F.lit("S0")).otherwise(F.lit("S1")).alias("site"),
-        F.col("event_type").alias("machine"),
+        F.col("user_id").alias("machine"),
         F.col("event_id").alias("plot_id"),
         start.alias("start_us"),
         (start + seconds_to_micros("value")).alias("finish_us"))
@@ -44,7 +42,7 @@ def downtime(spark, base):
 
 
 def runtime(spark, base):
-    return M.machine_runtime(downtime(spark, base), cutoff_hours=RUNTIME_CUTOFF_TEST_HOURS)
+    return M.machine_runtime(downtime(spark, base))
 
 
 def daily(spark, base):
@@ -55,7 +53,7 @@ def daily(spark, base):
 SQL_PLOTS = """
 ev AS (
   SELECT CASE WHEN user_id % 2 = 0 THEN 'S0' ELSE 'S1' END AS site,
-         event_type AS machine, event_id AS plot_id,
+         user_id AS machine, event_id AS plot_id,
          epoch_us(ts) AS start_us,
          epoch_us(ts) + CAST(round(value * 1000000.0) AS BIGINT) AS finish_us
   FROM events WHERE value IS NOT NULL),
@@ -90,7 +88,7 @@ run AS (
   SELECT *, CAST(runtime_us AS DOUBLE) / 1e6 AS runtime_seconds,
          round_even(CAST(runtime_us AS DOUBLE) / 1e6 / 60.0 / 60.0 * 100, 0) / 100 AS runtime_hours
   FROM run0),
-runf AS (SELECT * FROM run WHERE runtime_hours < 1.0),
+runf AS (SELECT * FROM run WHERE runtime_hours < 18.0),
 daily AS (
   SELECT *, CASE WHEN runtime_hours = 0 THEN NULL
                  ELSE CAST(n_plots_processed AS DOUBLE) / runtime_hours END AS plots_per_hour,

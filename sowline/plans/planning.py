@@ -3,7 +3,7 @@
 Plan rows come from ``lineitem`` joined to ``part``: year = ship year, crop =
 part type, plots = quantity, rows per plot = line number - 2 (null for the
 first two lines).  The "yield" plan is the non-returned lines, the "nursery"
-plan the returned ones shipped before 2001 (so 2001 exists on one side only).
+plan the returned ones.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sowline.functions.dates import ntz
-
 from sowline.operators.aggregates import describe_string, histogram, null_profile
 from sowline.operators.planning import (BASE_YEAR_ROW, capacity_chain, plan_growth, plan_totals,
                                         plan_units)
@@ -45,8 +43,7 @@ def _yield(spark, base):
 
 
 def _nursery(spark, base):
-    rows = _plan_rows(spark, base).where((F.col("l_returnflag") == "R")
-                                         & (F.col("l_shipdate") < ntz("2001-01-01")))
+    rows = _plan_rows(spark, base).where(F.col("l_returnflag") == "R")
     return plan_units(rows, "plots", "rows_per_plot", 1.0)
 
 
@@ -60,7 +57,7 @@ def _units_sql(default: float, where: str) -> str:
 
 
 SQL_Y = _units_sql(2.0, "l_returnflag <> 'R'")
-SQL_N = _units_sql(1.0, "l_returnflag = 'R' AND l_shipdate < TIMESTAMP '2001-01-01'")
+SQL_N = _units_sql(1.0, "l_returnflag = 'R'")
 
 
 @register("plan_units", sql=f"""

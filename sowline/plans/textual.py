@@ -104,21 +104,19 @@ def _release_dates(spark, base):
     return union_all([by_id, by_name])
 
 
-def attach_dates(spark, base, mode: str = "per_column", null_names_match: bool = False):
+def attach_dates(spark, base, mode: str = "per_column"):
     """Release date by set id, else by set name; then duplicate removal.
 
     A pandas merge also matches a null set name to every null name (M11).
     That would pair each null-named cell with every id-only release row (all
-    pairs of the null group), so it is off by default; the source notes that
-    cells with a set id always carry a name, where both rules agree.
+    pairs of the null group), so null names match nothing here; the source
+    notes that cells with a set id always carry a name, where both rules agree.
     """
     cells, rel = _cells(spark, base), _release_dates(spark, base)
     with_id = cells.where(F.col("set_id").isNotNull())
     merged1 = with_id.join(rel, with_id.set_id == rel.rel_set_id, "left")
     retry = merged1.where(F.col("rel_date").isNull()).select(*cells.columns)
-    name_match = (retry.set_name.eqNullSafe(rel.rel_set_name) if null_names_match
-                  else retry.set_name == rel.rel_set_name)
-    merged2 = retry.join(rel, name_match, "left")
+    merged2 = retry.join(rel, retry.set_name == rel.rel_set_name, "left")
     rest = cells.where(F.col("set_id").isNull())
     # the union feeds the duplicate probe and every per-column membership test:
     # cut the lineage once (reliable checkpoint in the session's checkpoint

@@ -234,30 +234,37 @@ def test_progress_status_buckets(spark):
     assert got[4] == (0, 0, None, None)
 
 
-# Python's own extraction, written in the test as the expected behaviour.
-def _python_extract(text):
-    ids = re.findall(r"\b\d+\b", text)
-    blocks = re.findall(r"\b\w+_\w+\b", text)
-    names = re.findall(r"\b\w+ L\d+\b", text)
-    for a, b, n in re.findall(r"(\d+)\s*-\s*(\d+)\s*\(.*?(\d+)\s*sets.*?\)", text):
-        if int(b) >= int(a) and int(n) > 1:
-            ids.extend(map(str, range(int(a), int(b) + 1)))
-    out = {(int(i), None, None) for i in ids}
-    out |= {(None, b, None) for b in blocks} | {(None, None, n) for n in names}
-    return out
+def _items(ids=(), blocks=(), names=()):
+    return {(i, None, None) for i in ids} | {(None, b, None) for b in blocks} | {(None, None, n) for n in names}
 
 
 def test_c30_extract_ids(spark):
-    texts = ["Sets 480664 - 480669 (6 sets) and AB_12x plus foo L3",
-             "reversed 500 - 400 (3 sets), single 7 - 9 (1 sets)",
-             "é12 café_bar naïve L12 12é x_y_z 0042",
-             "nothing here", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    # expected rows written by hand from the meaning of Python's \\w, \\d, \\b and "."
+    cases = [
+        ("Sets 480664 - 480669 (6 sets) and AB_12x plus foo L3", _items([6, *range(480664, 480670)], ["AB_12x"], ["foo L3"])),
+        ("reversed 500 - 400 (3 sets), single 7 - 9 (1 sets)", _items([500, 400, 3, 7, 9, 1])),
+        ("é12 café_bar naïve L12 12é x_y_z 0042", _items([42], ["café_bar", "x_y_z"], ["naïve L12"])),
+        ("nothing here", _items()),
+        (None, _items()),
+        ("é\u0301a_b", _items([], ["a_b"])),                       # a combining mark is no word character
+        ("x²_y", _items([], ["x²_y"])),                            # a superscript is
+        ("1 - 3 (a\r 5 sets)", _items([1, 2, 3, 5])),             # "." passes a carriage return
+        ("1 - 3 (a\u0085 5 sets)", _items([1, 2, 3, 5])),         # and a next-line character
+        ("1 - 3 (a\n 5 sets)", _items([1, 3, 5])),                # but no line feed
+        ("12345678901234567890 - 12345678901234567892 (3 sets)", _items([3, 12345678901234567890, 12345678901234567891, 12345678901234567892])),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc long, text string")
     got = extract_ids(df, "text", ["doc"], range_chunk=4).collect()
-    for i, t in enumerate(texts):
-        mine = {(None if r.set_id is None else int(r.set_id), r.block_name, r.set_name)
-                for r in got if r.doc == i}
-        assert mine == (_python_extract(t) if t else set()), t
+    for i, (text, want) in enumerate(cases):
+        assert {(None if r.set_id is None else int(r.set_id), r.block_name, r.set_name) for r in got if r.doc == i} == want, text
+
+
+def test_c30_very_wide_range_starts(spark):
+    df = spark.createDataFrame([(1, 10**6, 10**15)], "doc long, a long, b long").selectExpr(
+        "doc", "cast(a as decimal(38,0)) as __a", "cast(b as decimal(38,0)) as __b")
+    from sowline.operators.textids import RANGE_CHUNK, _expand
+    plan = _expand(df.withColumn("__b", F.col("__a") + 200_000), ["doc"], RANGE_CHUNK)
+    assert plan.agg(F.count("*").alias("n"), F.min("__id").alias("a"), F.max("__id").alias("b")).first()[:] == (200_001, 10**6, 10**6 + 200_000)
 
 
 def test_c55_golden_chain_and_edges(spark):
