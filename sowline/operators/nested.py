@@ -43,19 +43,24 @@ def collect_bounded(df: DataFrame, key: Sequence[str], element: Column, out: str
                     max_len: int = 1000, sort: bool = False) -> DataFrame:
     """Per-key arrays of ``element`` holding about ``max_len`` elements each.
 
-    Rows are (key..., part_no, out).  A key with n rows is split into
-    ceil(n / max_len) parts; rows are assigned by a hash of the whole input
-    row, so even a key holding a third of all rows is spread over many
-    bounded arrays (and tasks).  Nothing is dropped: the union of a key's
-    parts is its whole list.  The per-key counts are one partial aggregation
-    joined back (AQE splits a skewed key in that join).
+    Rows are (key..., part_no, out).  A key with n elements is split into
+    ceil(n / max_len) parts by a hash of the element.  Equal elements of a key
+    are counted first and dealt out in runs of ``max_len`` / 64, so neither
+    a key nor one element that holds a third of all rows becomes one giant
+    array.  Nothing is dropped: NULL keys and NULL elements stay, and the union
+    of a key's parts is its whole list.  Only the key and the columns of
+    ``element`` are read.
     """
-    k = list(key)
-    counts = df.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
+    k, run = list(key), max(1, max_len // 64)
+    once = df.select(*k, element.alias("__e")).groupBy(*k, "__e").agg(F.count(F.lit(1)).alias("__c"))
+    total = once.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)]).agg(F.sum("__c").alias("__n"))
+    same = [once[c].eqNullSafe(total[f"__k{i}"]) for i, c in enumerate(k)]
     parts = F.ceil(F.col("__n") / F.lit(float(max_len))).cast("long")
-    tagged = (df.join(counts, on=k)
-              .withColumn("part_no", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), parts)))
-    arr = F.collect_list(element)
+    runs = once.join(total, same).withColumn(
+        "__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / run).cast("long"))))
+    tagged = runs.withColumn("part_no", F.pmod(F.xxhash64("__e", "__run"), parts))
+    size = F.least(F.lit(run), F.col("__c") - F.col("__run") * run).cast("int")
+    arr = F.flatten(F.collect_list(F.array_repeat("__e", size)))
     if sort:
         arr = F.array_sort(arr)
     return tagged.groupBy(*k, "part_no").agg(arr.alias(out))
@@ -77,15 +82,6 @@ def nest_children(df: DataFrame, key: Sequence[str], fields: Sequence[str], out:
     return collect_bounded(df, key, child, out, max_len=max_children, sort=True)
 
 
-def kv_lookup(array_col: str, key_field: str, value_field: str, key: str) -> Column:
-    """N9 without exploding: the value of the first element whose key matches.
-
-    ``filter`` over the array is evaluated per row inside whole-stage codegen.
-    """
-    hit = F.filter(F.col(array_col), lambda x: x[key_field] == F.lit(key))
-    return F.element_at(hit, 1)[value_field]
-
-
 def kv_pivot(df: DataFrame, group_by: Sequence[str], array_col: str, key_field: str,
              value_field: str, keys: Mapping[str, str], cast: str = "decimal(38,9)") -> DataFrame:
     """Explode key/value structs, then MAX(CASE WHEN key = k THEN CAST(value) END) per k."""

@@ -423,3 +423,15 @@ def test_collect_bounded_splits_a_hot_key(spark):
     assert len(hot) == 5 and max(len(r.vs) for r in hot) < 1300     # about max_len each
     assert sorted(x for r in hot for x in r.vs) == sorted(i % 7 for i in range(5000))
     assert [(r.part_no, r.vs) for r in parts if r.k == "cold"] == [(0, [1])]
+
+
+def test_collect_bounded_loses_nothing(spark):
+    from sowline.operators.nested import collect_bounded
+    rows = [(1, "a", 0)] * 3000 + [(None, "b", 0), (None, None, 0), (2, None, 0), (2, "c", 1)]
+    df = spark.createDataFrame(rows, "k int, v string, unread int")
+    got = [(r.k, sorted(r.vs, key=str)) for r in collect_bounded(df, ["k"], F.col("v"), "vs", max_len=1000).collect()]
+    assert len([v for k, v in got if k == 1]) > 1
+    union = {}
+    for k, v in got:
+        union.setdefault(k, []).extend(v)
+    assert {k: sorted(v, key=str) for k, v in union.items()} == {1: ["a"] * 3000, None: [None, "b"], 2: [None, "c"]}
