@@ -37,7 +37,7 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 GRAMS = (3, 4, 5)
-WINDOWS_AT_ONCE = 8192
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 8192, 32768
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,10 +96,13 @@ def embed(w: dict, features: tuple) -> np.ndarray:
     out = np.zeros((len(words), WORD_DIM + GRAM_DIM), np.float32)
     out[:, :WORD_DIM] = w["word"][words]
     counts = np.bincount(owners, minlength=len(words))
-    full = np.flatnonzero(counts)
-    if len(full):
-        starts = (np.cumsum(counts) - counts)[full]
-        out[full, WORD_DIM:] = np.add.reduceat(w["gram"][grams], starts, axis=0) / counts[full, None].astype(np.float32)
+    first = np.append(0, np.cumsum(counts))
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        full = at + np.flatnonzero(counts[at:at + WORDS_AT_ONCE])
+        if len(full):
+            own = grams[first[full[0]]:first[full[-1] + 1]]
+            sums = np.add.reduceat(w["gram"][own], first[full] - first[full[0]], axis=0)
+            out[full, WORD_DIM:] = sums / counts[full, None].astype(np.float32)
     return out
 
 
@@ -200,11 +203,12 @@ def gradients(w: dict, features: tuple, words: np.ndarray, mask: np.ndarray, lab
     return g
 
 
-def _log_odds(item: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of an item (a word or an n-gram) by document counts."""
-    pairs = np.unique(item * len(label) + text)
-    item, text = pairs // len(label), pairs % len(label)
-    df = [np.bincount(item[label[text] == k], minlength=size) for k in (0, 1)]
+def _log_odds(items_of, label: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log-odds of items by document counts; ``items_of(i)`` are the
+    items of document i."""
+    df = np.zeros((2, size))
+    for i, y in enumerate(label.tolist()):
+        df[y, np.unique(items_of(i))] += 1
     rate = [(df[k] + 1) / ((label == k).sum() + 2) for k in (0, 1)]
     return np.log(rate[1]) - np.log(rate[0])
 
@@ -233,17 +237,18 @@ def fit(texts: list, labels: list[int], rates: tuple[int, int]) -> dict:
         return {"weights": None, "slope": 1.0, "shift": float(np.log(rate / (1 - rate)))}
     features = word_features(distinct.to_pylist())
     text, starts, lengths = windows_of(offsets)
-    of_word = np.repeat(np.arange(len(label)), np.diff(offsets))
-    word_odds = _log_odds(ids, of_word, label, len(distinct))
-    gram_text = np.repeat(np.arange(len(features[0])), np.bincount(features[2], minlength=len(features[0])))
+    own = [np.unique(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     sizes = np.bincount(features[2], minlength=len(features[0]))
     first = np.cumsum(sizes) - sizes
-    pairs = np.unique(ids * len(label) + of_word)
-    seen, where = pairs // len(label), pairs % len(label)
-    take = np.repeat(first[seen] - (np.cumsum(sizes[seen]) - sizes[seen]), sizes[seen]) + np.arange(sizes[seen].sum())
-    gram_odds = _log_odds(features[1][take], np.repeat(where, sizes[seen]), label, GRAM_BUCKETS)
+
+    def grams_of(i: int) -> np.ndarray:
+        n = sizes[own[i]]
+        return features[1][np.repeat(first[own[i]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    word_odds = _log_odds(own.__getitem__, label, len(distinct))
+    gram_odds = _log_odds(grams_of, label, GRAM_BUCKETS)
     best = word_odds.copy()
-    np.maximum.at(best, gram_text, gram_odds[features[1]])
+    np.maximum.at(best, features[2], gram_odds[features[1]])
     words, mask = _gather(starts, lengths, ids)
     score = np.where(mask > 0, best[words], -9).max(axis=0)
     rng = np.random.default_rng(5)
