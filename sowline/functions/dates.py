@@ -67,8 +67,3 @@ def month_day(d) -> Column:
 def iso_week(d) -> Column:
     """ISO-8601 week number (pandas isocalendar().week)."""
     return F.weekofyear(_c(d))
-
-
-def is_weekday(d) -> Column:
-    """Monday..Friday."""
-    return F.weekday(_c(d)) < F.lit(5)

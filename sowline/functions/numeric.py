@@ -35,15 +35,6 @@ def safe_ratio(num, den) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
-def exact_sum(col, scale: int = 2) -> Column:
-    """Order-independent sum of a money-like double column: summed as DECIMAL(38, scale).
-
-    A double sum depends on the order rows arrive in; a decimal sum does not, so
-    the result is identical on every run and every cluster size.
-    """
-    return F.sum(_c(col).cast(f"decimal(18,{scale})")).cast("double")
-
-
 def _split(x: Column) -> tuple[Column, Column]:
     """Veltkamp split of a double into two halves with 26-bit mantissas."""
     c = F.lit(134217729.0) * x

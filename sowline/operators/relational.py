@@ -54,11 +54,6 @@ def or_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_k
     return out
 
 
-def semi_join(left: DataFrame, right: DataFrame, on, how: str = "left_semi") -> DataFrame:
-    """``WHERE key IN (subquery)`` / EXISTS."""
-    return left.join(right, on, how)
-
-
 def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """SQL ``left_key NOT IN (SELECT right_key FROM right)``.
 
@@ -173,8 +168,3 @@ def in_list_flag(df: DataFrame, key: str, dim: DataFrame, dim_key: str, out: str
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows seen by both feeds (inner join on the shared keys)."""
     return a.join(b, on=_cols(keys), how="inner")
-
-
-def first_non_null(*cols: Column) -> Column:
-    """COALESCE / NVL."""
-    return F.coalesce(*cols)

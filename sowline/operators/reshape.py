@@ -46,19 +46,3 @@ def pivot_listagg(df: DataFrame, index: Sequence[str], category: str, columns: M
         arr = F.array_sort(F.collect_set(F.when(F.col(category) == F.lit(v), F.col(value))))
         return F.nullif(F.array_join(arr.cast("array<string>"), sep), F.lit(""))
     return df.groupBy(*index).agg(*[agg(v).alias(name) for name, v in columns.items()])
-
-
-def rows_of_kinds(df: DataFrame, kinds: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
-    """One row per element of several arrays, each element in its own column.
-
-    ``kinds`` maps output column -> array column.  Each output row has exactly
-    one of the kind columns set, the others null.
-    """
-    names = list(kinds)
-    parts = []
-    for name, arr in kinds.items():
-        parts.append(F.transform(F.col(arr), lambda x, n=name: F.struct(*[
-            (x if o == n else F.lit(None).cast("string")).cast("string").alias(o) for o in names])))
-    both = F.concat(*parts) if len(parts) > 1 else parts[0]
-    e = df.select(*keep, F.explode(both).alias("__r"))
-    return e.select(*keep, *[F.col(f"__r.{n}").alias(n) for n in names])
