@@ -44,13 +44,15 @@ PROBE_COST, PAIR_COST = 1.0, 0.2
 
 
 def _majority(data: bytes, ends: np.ndarray, starts: np.ndarray) -> int:
-    counts = np.zeros(BITS, dtype=np.float64)
+    counts = np.zeros(BITS, dtype=np.int64)
     n = len(starts)
     for at in range(0, n, CHUNK):
         spans = zip(starts[at:at + CHUNK].tolist(), ends[at:at + CHUNK].tolist())
         hashes = np.array([xxh64_intdigest(data[s:e], SEED) for s, e in spans], dtype="<u8")
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS)
-        counts += np.ones(len(bits), dtype=np.float32) @ bits.astype(np.float32)
+        whole = len(bits) // 255 * 255      # sums of 255 bits fit a byte
+        counts += np.add.reduce(bits[:whole].reshape(-1, 255, BITS), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 

@@ -21,7 +21,6 @@ Documents are shuffled once, by block; every other row is a few numbers.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -37,7 +37,10 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 GRAMS = (3, 4, 5)
-WINDOWS_AT_ONCE, WORDS_AT_ONCE = 8192, 32768
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 1024, 32768
+# Products above this many multiply-adds are cut up: libraries start threads
+# for larger ones, and a task has one core.
+PRODUCT = 200_000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +79,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(1) / (np.float32(1) + np.exp(-np.clip(x, -30, 30)))
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` of matrices in pieces of PRODUCT multiply-adds at most."""
+    step = max(1, PRODUCT // max(1, b.shape[1]))
+    if a.shape[0] > a.shape[1]:
+        rows = max(1, step // max(1, a.shape[1]))
+        return np.concatenate([a[i:i + rows] @ b for i in range(0, len(a), rows)]) if len(a) else a @ b
+    inner = max(1, step // max(1, a.shape[0]))
+    return sum(a[:, i:i + inner] @ b[i:i + inner] for i in range(0, max(1, a.shape[1]), inner))
+
+
 def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     inputs = WORD_DIM + GRAM_DIM
@@ -148,7 +161,7 @@ def _gather(starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[n
 def logits(w: dict, features: tuple, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Logits of all windows, a bounded number at a time."""
     x = embed(w, features)
-    projected = {way: x @ w[f"in_{way}"] + w[f"bias_{way}"] for way in "fb"}
+    projected = {way: times(x, w[f"in_{way}"]) + w[f"bias_{way}"] for way in "fb"}
     out = np.zeros(len(starts), np.float32)
     for at in range(0, len(starts), WINDOWS_AT_ONCE):
         part = slice(at, at + WINDOWS_AT_ONCE)
@@ -168,7 +181,7 @@ def gradients(w: dict, features: tuple, words: np.ndarray, mask: np.ndarray, lab
     own = (features[0][used], features[1][take], np.repeat(np.arange(len(used)), sizes))
     x = embed(w, own)
     trace: dict = {}
-    got = forward(w, {way: (x @ w[f"in_{way}"] + w[f"bias_{way}"])[local] for way in "fb"}, mask, trace)
+    got = forward(w, {way: (times(x, w[f"in_{way}"]) + w[f"bias_{way}"])[local] for way in "fb"}, mask, trace)
     g = {k: np.zeros_like(v) for k, v in w.items()}
     d = ((_sigmoid(got) - label) / len(label)).astype(np.float32)
     g["out"], g["out_bias"][0] = trace["pooled"].T @ d, d.sum()
@@ -196,8 +209,8 @@ def gradients(w: dict, features: tuple, words: np.ndarray, mask: np.ndarray, lab
             g[f"rec_{way}"] += before.T @ drec
             after = dht * (1 - m * (1 - z)) + drec @ rec.T
         flat = dproj.reshape(-1, 3 * HIDDEN)
-        g[f"in_{way}"], g[f"bias_{way}"] = x[local].reshape(-1, x.shape[1]).T @ flat, flat.sum(axis=0)
-        np.add.at(dx, local.ravel(), flat @ w[f"in_{way}"].T)
+        g[f"in_{way}"], g[f"bias_{way}"] = times(x[local].reshape(-1, x.shape[1]).T, flat), flat.sum(axis=0)
+        np.add.at(dx, local.ravel(), times(flat, w[f"in_{way}"].T))
     np.add.at(g["word"], own[0], dx[:, :WORD_DIM])
     np.add.at(g["gram"], own[1], (dx[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None])[own[2]])
     return g
