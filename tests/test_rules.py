@@ -4,7 +4,6 @@ driver tables cannot show."""
 import datetime as dt
 import math
 import random
-import re
 
 import pandas as pd
 import pytest
