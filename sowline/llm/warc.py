@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sowline.llm.common import stored
+
 BLOCK_SECONDS = 6 * 3600
 # The header fields that a 304 response updates.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -129,6 +131,8 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     events = records.where(wanted).select(
         "record_id", "record_type", "time", "headers", canonical_url(F.col("url")).alias("url_key"),
         F.when(full & F.col("time").isNotNull(), row).alias("response")).withColumn("block", F.floor(F.col("time") / block_seconds))
+    # three uses below: stored once, without bodies, instead of parsed three times
+    events = stored(events, "captures")
     inside = Window.partitionBy("url_key", "block").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = events.withColumn("near", F.last("response", ignorenulls=True).over(inside)).where("record_type = 'revisit'").drop("response")
     # maps have no order: the last response of a block by (time, id) alone
