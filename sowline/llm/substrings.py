@@ -16,7 +16,8 @@ covers it also starts in a document with a smaller id.
   in full (96 bits), once a block, with the smallest id that holds them.  The
   smallest id over all blocks goes back to the blocks, which remove words.
 
-Documents are shuffled once, by block; every other row is a few numbers.
+Documents are shuffled once, by block, their texts compressed; every other row
+is a few numbers.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sowline.llm.common import BLOCK_DOCS, NO_ID, SLICE_BYTES, slices, with_block, word_ids, words_of
+from sowline.llm.common import NO_ID, slices, with_block, word_ids, words_of
 
 WIDTH = 13
+BLOCK_DOCS = 4096
+LOWEST = -(1 << 63)
+PACKED_BYTES = 2 << 20  # compressed bytes of text that are worked on at a time
 PERIOD = 7
 COVER = (0, 1, 3)       # a difference cover modulo 7
 MIXES = np.random.default_rng(7).integers(1 << 63, size=(3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,16 +116,29 @@ def _per_hash(hashes: list, ids: list, second: list | None = None):
     return [k[first].view(np.int64) for k in reversed(keys[1:])], keys[0][first], keys[0][last]
 
 
+def _packed(dealt: DataFrame) -> DataFrame:
+    """``dealt`` with its texts compressed (NULL as empty)."""
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for batch in batches:
+            texts = pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("block")], names=["id", "text", "block"])
+
+    return dealt.select("id", "text", "block").mapInArrow(run, "id long, text binary, block long")
+
+
 def _parts(docs: pa.Table, width: int):
+    press = zstandard.ZstdDecompressor()
     for batch in docs.combine_chunks().to_batches():
-        for part in slices(batch, "text", SLICE_BYTES):
-            yield Block(part.column("id"), part.column("text"), width)
+        for part in slices(batch, "text", PACKED_BYTES):
+            texts = pa.array([press.decompress(t) for t in part.column("text").to_pylist()], pa.binary()).cast(pa.large_binary())
+            yield part.column("id"), Block(part.column("id"), texts.cast(pa.large_string()), width)
 
 
 def _anchor_rows(width: int):
     def run(key, docs):
         hashes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for block in _parts(docs, width):
+        for _, block in _parts(docs, width):
             at, h = block.anchors()
             hashes.append(h)
             ids.append(block.ids[block.row[at]])
@@ -133,7 +151,7 @@ def _window_rows(width: int):
     def run(key, docs, shared):
         known = np.sort(np.asarray(shared.column("h").combine_chunks()).astype(np.int64).view(np.uint64)) if shared.num_rows else np.zeros(0, np.uint64)
         first, second, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for block in _parts(docs, width) if len(known) else ():
+        for _, block in _parts(docs, width) if len(known) else ():
             at, a, b = block.windows(known)
             first.append(a)
             second.append(b)
@@ -151,23 +169,21 @@ def _kept_rows(width: int):
         order = np.lexsort([b, a])
         a, b, least = a[order], b[order], least[order]
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        for batch in docs.combine_chunks().to_batches():
-            for part in slices(batch, "text", SLICE_BYTES):
-                block = Block(part.column("id"), part.column("text"), width)
-                gone = np.zeros(len(block.hashes) + 1, dtype=np.int64)
-                if len(a):
-                    at, x, y = _all_windows(block, a)
-                    hit = _smaller(a, b, least, x, y, block.ids[block.row[at]])
-                    np.add.at(gone, at[hit], 1)
-                    np.add.at(gone, at[hit] + width, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                stay = block.words.filter(pa.array(~gone))
-                left = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
-                lists = pa.LargeListArray.from_arrays(pa.array(left), stay)
-                out["doc_id"].append(part.column("id"))
-                out["n_words"].append(pa.array(np.diff(block.offsets)))
-                out["n_removed"].append(pa.array(np.diff(block.offsets) - np.diff(left)))
-                out["kept"].append(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string()))
+        for ids, block in _parts(docs, width):
+            gone = np.zeros(len(block.hashes) + 1, dtype=np.int64)
+            if len(a):
+                at, x, y = _all_windows(block, a)
+                hit = _smaller(a, b, least, x, y, block.ids[block.row[at]])
+                np.add.at(gone, at[hit], 1)
+                np.add.at(gone, at[hit] + width, -1)
+            gone = np.cumsum(gone)[:-1] > 0
+            stay = block.words.filter(pa.array(~gone))
+            left = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
+            lists = pa.LargeListArray.from_arrays(pa.array(left), stay)
+            out["doc_id"].append(ids)
+            out["n_words"].append(pa.array(np.diff(block.offsets)))
+            out["n_removed"].append(pa.array(np.diff(block.offsets) - np.diff(left)))
+            out["kept"].append(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string()))
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
         return pa.table({k: pa.chunked_array(v, type=types[k]) for k, v in out.items()})
     return run
@@ -205,7 +221,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, block_docs: int = BLOCK_DO
     """
     if not width >= PERIOD:
         raise ValueError(f"windows have {PERIOD} words at least")
-    dealt = with_block(docs.select(F.col("doc_id").alias("id"), "text"), "id", block_docs)
+    dealt = _packed(with_block(docs.select(F.col("doc_id").alias("id"), "text"), "id", block_docs))
     blocks = lambda: dealt.groupBy("block")
     # holder: the block's number twice, plus 1 if two or more of its documents hold the hash
     anchors = blocks().applyInArrow(_anchor_rows(width), "h long, holder long")
@@ -215,6 +231,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, block_docs: int = BLOCK_DO
               .where("shared").select("h", block))
     windows = blocks().cogroup(shared.groupBy("block")).applyInArrow(_window_rows(width), "a long, b int, holder long, low long")
     repeated = (windows.select("a", "b", "holder", "low", F.min("low").over(Window.partitionBy("a", "b")).alias("least"))
-                .where(several | (F.col("low") > F.col("least"))).select("a", "b", block, "least"))
+                .where(several | (F.col("low") > F.col("least")))
+                # the one document of a block without "several" is not the least: any value below its id does
+                .select("a", "b", block, F.when(several, F.col("least")).otherwise(LOWEST).alias("least")))
     return blocks().cogroup(repeated.groupBy("block")).applyInArrow(
         _kept_rows(width), "doc_id long, n_words long, n_removed long, kept string")
