@@ -48,7 +48,7 @@ WITH feeds AS (
 SELECT site, CASE WHEN date >= DATE '1998-01-01' THEN 'Q1/Q2' ELSE 'Q3/Q4' END AS season,
        count(barcode) AS n_packets
 FROM feeds
-WHERE regexp_matches(barcode, '^P0|^\\d') AND NOT starts_with(barcode, 'VALIDATION')
+WHERE regexp_matches(barcode, '{PACKET_BARCODE}') AND NOT starts_with(barcode, 'VALIDATION')
 GROUP BY 1, 2""")
 def q_packet_season_counts(spark, base):
     li = T(spark, base, "lineitem")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sowline.functions.text import SERIAL_PATTERN, decode_hopper, safe_decimal
 from sowline.operators.relational import remove_rows, union_all
 from sowline.operators.reshape import pivot_table
-from sowline.operators.textids import extract_ids
+from sowline.operators.textids import RANGE_PATTERN, extract_ids
 from sowline.operators.windows import duplicate_flag
 from sowline.plans.registry import register
 from sowline.session import materialize
@@ -64,9 +64,9 @@ blocks AS (SELECT doc_id, source, NULL::DECIMAL(38,0) AS set_id, t AS block_name
 names AS (SELECT doc_id, source, NULL::DECIMAL(38,0) AS set_id, NULL::VARCHAR AS block_name,
                  unnest(regexp_extract_all(text, '{_W}+ L\p{{Nd}}+')) AS set_name FROM d),
 rg AS (SELECT doc_id, source,
-              unnest(regexp_extract_all(text, '(\d+)\s*-\s*(\d+)\s*\(.*?(\d+)\s*sets.*?\)', 1)) AS a,
-              unnest(regexp_extract_all(text, '(\d+)\s*-\s*(\d+)\s*\(.*?(\d+)\s*sets.*?\)', 2)) AS b,
-              unnest(regexp_extract_all(text, '(\d+)\s*-\s*(\d+)\s*\(.*?(\d+)\s*sets.*?\)', 3)) AS n
+              unnest(regexp_extract_all(text, '{RANGE_PATTERN}', 1)) AS a,
+              unnest(regexp_extract_all(text, '{RANGE_PATTERN}', 2)) AS b,
+              unnest(regexp_extract_all(text, '{RANGE_PATTERN}', 3)) AS n
        FROM d),
 ranges AS (SELECT doc_id, source, CAST(unnest(generate_series(CAST(a AS BIGINT), CAST(b AS BIGINT)))
                   AS DECIMAL(38,0)) AS set_id, NULL::VARCHAR AS block_name, NULL::VARCHAR AS set_name
