@@ -322,14 +322,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
     id or a label and blank texts take no part.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_CHARS) & ~is_held_out(folds, held))
-    rates = {r.toxic: r.n for r in marks.where(~is_held_out(folds, held)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rates = (rates.get(0, 0), sum(n for k, n in rates.items() if k != 0))
-    joined = usable.join(marks, "doc_id").select("doc_id", "text", (F.col("toxic") != 0).cast("int").alias("label"))
-    chosen = None
-    for k in (0, 1):
-        part = joined.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", "text")).limit(sample)
-        chosen = part if chosen is None else chosen.union(part)
+    marks = marks.select("doc_id", (F.col("toxic") != 0).cast("int").alias("label")).where(~is_held_out(folds, held))
+    rates = {r.label: r.n for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rates = (rates.get(0, 0), rates.get(1, 0))
+    # ids are chosen before any text is read: at most 2 * sample of them, which
+    # bounds what is broadcast, and no text but theirs is moved
+    ids = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id")).limit(sample) for k in (0, 1)]
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    chosen = texts.orderBy(F.xxhash64("doc_id", "text")).limit(2 * sample)
 
     def run(key, rows):
         rows = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("label").to_pylist()))
