@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 from sowline.llm.common import NO_ID, slices, with_block, word_ids, words_of
 
 WIDTH = 13
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 6144
 LOWEST = -(1 << 63)
 PACKED_BYTES = 2 << 20  # compressed bytes of text that are worked on at a time
 PERIOD = 7
@@ -119,7 +119,7 @@ def _per_hash(hashes: list, ids: list, second: list | None = None):
 def _packed(dealt: DataFrame) -> DataFrame:
     """``dealt`` with its texts compressed (NULL as empty)."""
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=9, write_content_size=True)
         for batch in batches:
             texts = pa.array([press.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("block")], names=["id", "text", "block"])
