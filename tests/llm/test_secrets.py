@@ -64,3 +64,55 @@ def test_redact(spark):
         else:
             assert r.text == text and r.n_chars == 5
     assert secrets.redact(docs.limit(0)).count() == 0
+
+
+HELD = """absolute abstract accept adapter advance aggregate allocate anchor annotation approximate assembly asynchronous backup
+bandwidth banner behavior browser bundle cache calendar capacity chapter closure coefficient commit compute concurrent consumer
+coverage cursor debug delegate descriptor discovery dispatch domain duration encoding enterprise equation fallback foreign
+fragment gateway geometry heuristic hostname immutable increment inherit isolate legacy lifecycle magnitude margin matrix
+metadata migration namespace negotiate observer offset override pagination payload persist pixel pointer polygon precision
+recursive redirect replica rollback scheduler serializer singleton socket spectrum tenant throughput topology traversal""".split()
+
+
+def held_out(n=300):
+    """Random tokens by alphabet and length, and ordinary runs by form, none of them trained on."""
+    import random
+
+    rng = random.Random(11)
+    word, digits = lambda: rng.choice(HELD), lambda k: "".join(rng.choices("0123456789", k=k))
+    forms = {"snake": lambda: f"{word()}_{word()}_{word()}", "kebab": lambda: f"{word()}-{word()}-{word()}",
+             "camel": lambda: word() + word().title() + word().title(), "upper": lambda: f"{word()}_{word()}_{word()}".upper(),
+             "path": lambda: f"/{word()}/{word()}/{digits(4)}/{word()}", "digits": lambda: f"{word()}_{digits(2)}_{word()}_{digits(4)}",
+             "dated": lambda: f"{word()}-20{digits(2)}-0{rng.randrange(1, 9)}-1{digits(1)}-{word()}", "numbers": lambda: f"{digits(10)}-{digits(10)}-{digits(2)}",
+             "acronyms": lambda: f"XML{word().title()}HTTP{word().title()}IO", "long number": lambda: digits(24)}
+    tokens = {(a, k): ["".join(rng.choices(a, k=k)) for _ in range(n)] for a in secrets.RANDOM for k in (20, 24, 32, 40, 64)}
+    return tokens, {name: [v for v in (f() for _ in range(2 * n)) if len(v) >= secrets.RUN_MIN][:n] for name, f in forms.items()}
+
+
+def test_held_out_tokens_and_identifiers(spark):
+    """Recall on tokens that no base rule needs to find, and identifiers left alone."""
+    assert not set(HELD) & set(secrets.WORDS)
+    tokens, ordinary = held_out()
+    texts = [v for group in (tokens, ordinary) for vs in group.values() for v in vs]
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    found, name = secrets.find(docs, secrets.train(none))
+    spans = {r.text: [s.kind for s in r[1] if s.kind == 3 or s.end - s.start == len(r.text)] for r in found.select("text", name).collect()}
+    recall = {k: sum(bool(spans[v]) for v in vs) / len(vs) for k, vs in tokens.items()}
+    wrong = {k: sum(3 in spans[v] for v in vs) / len(vs) for k, vs in ordinary.items()}
+    lower_hex = secrets.RANDOM[-1]
+    print(recall, wrong)
+    assert all(r >= 0.95 for r in recall.values()), recall
+    assert all(r >= 0.99 for (a, _), r in recall.items() if a in secrets.RANDOM[:3]), recall
+    assert recall[lower_hex, 20] == 1.0
+    assert all(r <= 0.03 for r in wrong.values()), wrong
+
+
+def test_rest_of_a_run_beside_a_base_span(spark):
+    rest = "Xq7Rt2LmZp9Vw4Ks8Hd3Bf6Jn1"
+    texts = [f"{rest}+{HEX40}", f"{HEX40}/{rest}", f"{rest}-{HEX40}={rest}", f"{HEX40}-short", "1234567890-1234567890-12",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, name = secrets.find(docs)
+    got = {r.doc_id: [r.text[s.start:s.end].strip("+/-=") for s in r[2] if s.kind == 3] for r in found.select("doc_id", "text", name).collect()}
+    assert got == {0: [rest], 1: [rest], 2: [rest, rest], 3: [], 4: [], 5: [texts[5]]}
