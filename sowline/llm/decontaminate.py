@@ -15,14 +15,17 @@ The test items are the index, every passage of every document is a query.
   cannot reach the threshold, and scores the rest in full: it returns exactly
   the pieces at or above the threshold.  Passages that no block can bring to
   the threshold are set aside by the same sums for many passages at a time.
-* A retrieved item is verified on the whole document: the shares of the
-  question's and of the answer's word 5-grams that the document has must both
-  reach ``OVERLAP``.  The answer is the item's last sentence (or its last
+* A retrieved item is verified for its question and for its answer, which must
+  both be in the document: ``OVERLAP`` of the part's word 5-grams anywhere in
+  it, or ``ALIGNED`` of the part's words in their order within a window of
+  about the part's length near a retrieved passage.  The second holds for short
+  parts with changed, missing or added words too.  The answer is the item's last sentence (or its last
   third, if it has but one), the question is the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -43,6 +46,7 @@ CELL = 32           # words between two passages' starts
 THRESHOLD = 0.5     # of a piece's own score
 GRAM = 5            # words compared when an item is verified
 OVERLAP = 0.5       # share of question and of answer n-grams in the document
+ALIGNED = 0.66      # or share of question and of answer words, in order and close together
 K1, B = 1.2, 0.75
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|"
 
@@ -77,6 +81,41 @@ def grams(words: list[str]) -> set:
     return {tuple(words[i:i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
 
 
+def needed(n: int, alone: bool) -> int:
+    """Words of a part of ``n`` that must be found in order; a part that is a
+    whole item may lack one, and none if it has less than four."""
+    return max(math.ceil(ALIGNED * n), (n - 1 if n > 3 else n) if alone else 0)
+
+
+def aligned(wanted: list[str], regions: list[list[str]], least: int) -> float:
+    """The largest share of ``wanted`` that a window of a region holds in
+    order, 0 if it is less than ``least`` words.
+
+    Windows are a quarter longer than ``wanted``; those with too few of its
+    words are skipped, the rest are compared by bit-parallel longest common
+    subsequence.
+    """
+    n, best = len(wanted), 0
+    step = max(1, n // 16)
+    width, whole = n + max(2, n // 4) + step - 1, (1 << n) - 1
+    places: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(wanted):
+        places[w] |= 1 << i
+    for words in regions:
+        bits = [places.get(w, 0) for w in words]
+        held = np.concatenate([[0], np.cumsum([b > 0 for b in bits])])
+        starts = np.arange(0, len(words), step)
+        enough = held[np.minimum(starts + width, len(words))] - held[starts] >= max(least, 1)
+        for start in starts[enough].tolist():
+            free = whole
+            for b in bits[start:start + width]:
+                if b:
+                    taken = free & b
+                    free = ((free + taken) | (free - taken)) & whole
+            best = max(best, n - free.bit_count())
+    return best / n if best >= least else 0.0
+
+
 def _pieces(items: DataFrame) -> DataFrame:
     """(item_id, piece, n_words, terms) of every item with a word, and the
     item's question and answer as texts of normal words."""
@@ -106,6 +145,7 @@ class Index:
     def __init__(self, pieces: list, weights: dict[tuple[int, str], float]):
         """``weights``: impact by (number of the piece, term)."""
         self.items = [p.item_id for p in pieces]
+        self.parts = [(p.question, p.answer) for p in pieces]
         self.question = [grams(p.question.split()) for p in pieces]
         self.answer = [grams(p.answer.split()) for p in pieces]
         lists: dict[str, list] = defaultdict(list)
@@ -188,12 +228,14 @@ class Index:
         after = np.where(last[:-1, None], 0, bounds[1:]) if len(bounds) > 1 else bounds[:0]
         likely = np.flatnonzero(((bounds[:-1] + after).max(axis=1) if self.blocks else np.zeros(len(after))) >= threshold - 1e-3)
         best: dict[tuple[int, int], float] = {}
+        cells: dict[tuple[int, int], list[int]] = defaultdict(list)
         for c in likely.tolist():
             stop = c + 1 if last[c] else c + 2
             terms = sorted(set(term[starts[c]:starts[stop]].tolist()))
             row = int(np.searchsorted(first_cell, c, side="right")) - 1
             for piece, score in self.wand(terms, threshold):
                 best[row, piece] = max(best.get((row, piece), 0.0), score)
+                cells[row, piece].append((c - int(first_cell[row])) * CELL)
         names, out, seen = None, [], {}
         for (row, piece), score in sorted(best.items()):
             if row not in seen:
@@ -207,7 +249,26 @@ class Index:
                 hits = len(wanted & own) if not short else sum(
                     any(tuple(seen[row][1][i:i + len(g)]) == g for i in range(len(seen[row][1]))) for g in short)
                 shares.append(hits / len(wanted) if wanted else 1.0)
-            if min(shares) >= overlap:
+            if min(shares) < overlap:
+                parts = [p.split() for p in self.parts[piece]]
+                reach, ends = sum(map(len, parts)), []
+                for place in cells[row, piece]:
+                    low, high = max(0, place - reach), place + 2 * CELL + reach
+                    if ends and low <= ends[-1][1]:
+                        ends[-1][1] = high
+                    else:
+                        ends.append([low, high])
+                known = ids[offsets[row]:offsets[row + 1]]
+                near = [[w for w in map(names.__getitem__, known[low:high].tolist()) if w] for low, high in ends]
+                for k, part in enumerate(parts):
+                    if shares[k] < overlap:
+                        share = aligned(part, near, needed(len(part), not all(parts)))
+                        if not share:
+                            break
+                        shares[k] = share
+                else:
+                    out.append((row, self.items[piece], score, *shares))
+            else:
                 out.append((row, self.items[piece], score, *shares))
         return out
 

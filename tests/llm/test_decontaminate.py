@@ -96,3 +96,51 @@ def test_empty_tables(spark):
 def test_search_of_nothing():
     index = D.Index([Piece(1, "a", "b")], {(0, "a"): 0.5, (0, "b"): 0.5})
     assert index.search(pa.array([None, "", "  "], pa.string()), 0.5, 0.5) == []
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_edited_copies_are_found_and_clean_texts_are_not(spark, seed):
+    """Every copy with one changed word, nearly all with 10 % of the words
+    changed; no clean text, and hardly a question with another answer (by chance
+    its common words can stand in the answer's order)."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    common = ["the", "of", "and", "in", "is", "to", "a", "was"]
+    make = lambda n: " ".join(rng.choice(common if rng.random() < 0.4 else vocab) for _ in range(n))
+    items = [(i, make(rng.randrange(12, 60)) + ". " + make(rng.randrange(5, 14)) + ".") for i in range(60)]
+    noise = lambda: make(rng.randrange(20, 200))
+    one, tenth, docs = {}, {}, []
+
+    def put(text):
+        docs.append((len(docs), noise() + " " + text + " " + noise()))
+        return len(docs) - 1
+
+    for item, text in items:
+        words = text.split()
+        for at in range(len(words)):
+            new = "other" + "." * words[at].endswith(".")
+            one[put(" ".join(words[:at] + [new] + words[at + 1:]))] = item
+        for _ in range(5):
+            tenth[put(" ".join("other" + "." * w.endswith(".") if rng.random() < 0.1 else w for w in words))] = item
+    first_clean = len(docs)
+    for item, text in items:
+        put(noise())
+        put(text.split(". ")[0] + ". " + make(9) + ".")
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                           spark.createDataFrame(items, "item_id long, text string")).collect()}
+    missed = [d for d in one.items() if d not in found]
+    lost = [d for d in tenth.items() if d not in found]
+    other = {first_clean + 2 * k + 1 for k in range(len(items))}
+    chance = [d for d in found if d[0] in other]
+    wrong = [d for d in found if d[0] not in other and d not in {*one.items(), *tenth.items()}]
+    print(len(one), len(missed), len(tenth), len(lost), len(chance), len(wrong))
+    assert not missed and len(lost) <= 0.05 * len(tenth) and len(chance) <= 0.02 * len(items) and not wrong
+
+
+def test_aligned_words():
+    words = "a b c d e f g h".split()
+    assert D.aligned(words, [words], 5) == 1.0
+    assert D.aligned(words, ["x a b y c d f g h z".split()], 5) == 7 / 8
+    assert D.aligned(words, [words[::-1]], 5) == 0.0
+    assert D.aligned(words, ["a b".split() + ["x"] * 20 + words[2:4] + ["x"] * 20 + words[4:]], 5) == 0.0
+    assert [D.needed(n, False) for n in (1, 2, 3, 5, 6, 10)] == [1, 2, 2, 4, 4, 7] and [D.needed(n, True) for n in (1, 3, 4, 5)] == [1, 3, 3, 4]
