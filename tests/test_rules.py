@@ -434,3 +434,15 @@ def test_collect_bounded_loses_nothing(spark):
     for k, v in got:
         union.setdefault(k, []).extend(v)
     assert {k: sorted(v, key=str) for k, v in union.items()} == {1: ["a"] * 3000, None: [None, "b"], 2: [None, "c"]}
+
+
+def test_n7_query_keeps_a_hot_customer_in_one_row(spark, tmp_path):
+    import json
+
+    from sowline.plans.progress import q_nest_children
+    spark.range(3003).selectExpr("id as o_orderkey", "if(id < 3000, 1L, 2L) as o_custkey", "'F' as o_orderstatus") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_custkey: r for r in q_nest_children(spark, str(tmp_path)).collect()}
+    assert {k: (r.part_no, r.n_orders) for k, r in got.items()} == {1: (0, 3000), 2: (0, 3)}
+    assert [c["o_orderkey"] for c in json.loads(got[1].orders_json)] == list(range(3000))
+    assert q_nest_children(spark, str(tmp_path)).count() == 2
