@@ -18,6 +18,8 @@ from sowline.session import checkpoint_dir
 SLICE_BYTES = 4 << 20
 # Documents of one block (see with_block).
 BLOCK_DOCS = 2048
+# Bytes of the results that a Python worker remembers (see Memo).
+MEMO_BYTES = 32 << 20
 # A NULL document id sorts after every other id.
 NO_ID = (1 << 63) - 1
 
@@ -98,3 +100,32 @@ def with_block(docs: DataFrame, key: str, size: int = BLOCK_DOCS) -> DataFrame:
     """
     n = max(1, -(-docs.count() // size))
     return docs.withColumn("block", F.pmod(F.xxhash64(key, "text"), F.lit(n)).cast("long"))
+
+
+class Memo:
+    """Results by text, bounded in bytes: the newest half and the half before
+    it.  Long texts hardly come again and are not kept."""
+
+    COST = 200              # of an entry beside its key and value
+    LONGEST = 64
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        self.half, self.size = limit // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) > self.LONGEST:
+            return
+        if self.size >= self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += self.COST + len(key) + len(value)
