@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from sowline.llm.common import slices
+from sowline.llm.common import Memo, freed, slices
 
 MAX_ENTRIES = 1 << 20
-CACHE = 400_000             # encoded pre-tokens that a Python worker remembers
+PAIRS = 1 << 17             # symbol pairs whose rank a Python worker remembers
 BUCKET = 4                  # entries per bucket of the perfect hash, on average
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -93,12 +93,10 @@ class Codec:
         if None in self.single:
             raise ValueError("the vocabulary lacks single bytes")
         self.pairs: dict[tuple[int, int], int] = {}     # rank of two adjacent symbols, -1 for none
-        # encoded pre-tokens: the newest ones and the ones before them
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo()                              # encoded pre-tokens
 
     def _rank(self, pair: tuple[int, int]) -> int:
-        if len(self.pairs) >= CACHE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         r = self.whole.get(self.bytes_of[pair[0]] + self.bytes_of[pair[1]])
         self.pairs[pair] = r = -1 if r is None else r
@@ -151,21 +149,18 @@ class Codec:
 
     def piece(self, token: str) -> bytes:
         """Ids of one pre-token as little-endian unsigned 32-bit numbers."""
-        out = self.old.get(token)
+        out = self.memo.old.get(token)
         if out is None:
             data = token.encode()
             whole = self.whole.get(data)
             ids = [whole] if whole is not None else self.merge(data)
             out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(token) <= 64:                # longer ones hardly come again
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[token] = out
+        self.memo.put(token, out)
         return out
 
     def encode(self, text: str) -> bytes:
-        piece = self.piece
-        return b"".join([self.young.get(t) or piece(t) for t in self.pattern.findall(text)])
+        piece, memo = self.piece, self.memo
+        return b"".join([memo.young.get(t) or piece(t) for t in self.pattern.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -198,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shipped)
-        for whole in batches:
+        for whole in freed(batches):
             for batch in slices(whole, "_text"):
                 ids = [codec.encode(t or "") for t in batch.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -214,7 +209,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shipped)
-        for whole in batches:
+        for whole in freed(batches):
             for batch in slices(whole, ids):
                 out = pa.array([codec.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])

@@ -4,6 +4,7 @@ Arrow arrays, bounded slices of a batch, blocks of documents, stored tables."""
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,38 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it
     back: cuts the lineage, survives lost executors, keeps column pruning."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/sowline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` table that nothing reads any more."""
+    path = _FOLDERS.pop(df, None)
+    if path:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the last one held goes back to the system before the
+    next one comes, and at the end of the task."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()
 
 
 def unused(df: DataFrame, name: str) -> str:

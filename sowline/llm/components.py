@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sowline.llm.common import stored
+from sowline.llm.common import discarded, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         if total[0] == 0 or tuple(total) == seen:
             break
         seen = tuple(total)
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        discarded(before)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

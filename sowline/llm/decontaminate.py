@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sowline.llm.common import slices, stored, unused, word_ids, words_of
+from sowline.llm.common import freed, slices, stored, unused, word_ids, words_of
 
 PIECE = 48          # words of an indexed piece at most
 SHARD = 4096        # pieces whose postings are shipped together
@@ -322,7 +322,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     def searched(shipped) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for whole in batches:
+            for whole in freed(batches):
                 for batch in slices(whole, "_text"):
                     best: dict[tuple[int, int], tuple] = {}
                     for row, item, *scores in index.search(batch.column("_text"), threshold, overlap):

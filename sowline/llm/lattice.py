@@ -1,21 +1,21 @@
 """Language-model scores from a subword lattice.
 
 A word's lattice holds all its segmentations into pieces of an existing
-subword vocabulary (the first piece begins with the vocabulary's word mark,
-characters without a piece are spelled in bytes) and, if the word occurs in
-training documents, one more arc for the whole word.  The forward recursion in
-log space gives the probability of all paths together.  Pieces do not cross
-words, so a text's log probability is the sum over its words and the end.
-
-* Pieces: the vocabulary's own scores weight the first pass over the training
-  words; every round of expected counts (forward and backward over all
-  distinct words) re-estimates them.  Only one number a piece comes to the
-  driver; the vocabulary has ``MAX_PIECES`` at most.  Words of one marked
-  piece and any unmarked ones after it have total probability 1.
-* Whole words: absolute discounting, ``(count - d) / tokens`` with d from the
-  numbers of words seen once and twice; the mass set free weights the pieces.
-  Without it a vocabulary of a few thousand pieces can't remember the corpus'
-  own compounds.
+subword vocabulary; the first piece begins with the vocabulary's word mark,
+characters without a piece are spelled in bytes.  The pieces are weighted by
+the vocabulary's own scores.  The forward recursion in log space gives the
+probability of all paths together; pieces do not cross words, so a text's log
+probability is the sum over its words and the end.
+
+* One number is fitted for the weights: a temperature, the power to which all
+  pieces' probabilities are raised before they are made to sum to one.  Of
+  ``TEMPERATURES`` the one that gives the training words, each as often as it
+  occurs, the highest likelihood is taken.  One sum a temperature comes to the
+  driver.
+* A token is the end with the training documents' share of ends, else a word.
+* ``mixture`` is another model beside it: whole training words by absolute
+  discounting, ``(count - d) / tokens`` with d from the numbers of words seen
+  once and twice, and the lattice with the mass set free.
 
 Words are counted over all training documents.  Every distinct word is scored
 once, whatever its number of documents; the scores go to blocks of documents
@@ -36,8 +36,7 @@ from sowline.llm.common import slices, stored, with_block, word_ids, words_of
 
 MARK = "▁"
 MAX_PIECES = 1 << 20
-ROUNDS = 2
-PRIOR = 0.1             # added to every piece's expected count
+TEMPERATURES = (0.5, 0.75, 1.0, 1.25)
 BLOCK_DOCS = 4096
 CELLS = 4 << 20         # lattice arcs worked on at a time
 M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -112,20 +111,18 @@ class Lattice:
                 out[i, k, hit] = self.ids[spot[hit]]
         return out
 
-    def spell(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+    def spell(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log probability of every character in bytes where it has no piece
-        of its own, else -inf; and the byte pieces of those characters."""
+        of its own, else -inf."""
         out = np.full(codes.shape, -np.inf)
-        bytes_of = {}
         lone = first == len(self.logp) - 1
         for code in np.unique(codes[lone]).tolist():
-            bytes_of[code] = [int(self.byte[b]) for b in chr(code).encode("utf-8", "surrogatepass")]
-            out[lone & (codes == code)] = self.logp[bytes_of[code]].sum()
-        return out, bytes_of
+            out[lone & (codes == code)] = self.logp[[int(self.byte[b]) for b in chr(code).encode("utf-8", "surrogatepass")]].sum()
+        return out
 
-    def forward(self, codes: np.ndarray):
-        arcs = self.arcs(codes)
-        single, bytes_of = self.spell(codes, arcs[:, 0])
+    def forward(self, codes: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """Log probability of all paths to the end of every word."""
+        single = self.spell(codes, arcs[:, 0])
         length, words = codes.shape
         alpha = np.full((length + 1, words), -np.inf)
         alpha[0] = 0.0
@@ -133,26 +130,7 @@ class Lattice:
             alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + single[i])
             for k in range(min(arcs.shape[1], length - i)):
                 alpha[i + k + 1] = np.logaddexp(alpha[i + k + 1], alpha[i] + self.logp[arcs[i, k]])
-        return alpha, arcs, single, bytes_of
-
-    def expected(self, codes: np.ndarray, counts: float, into: np.ndarray) -> None:
-        """Add every piece's expected count in ``counts`` times the words."""
-        alpha, arcs, single, bytes_of = self.forward(codes)
-        length, words = codes.shape
-        beta = np.full((length + 1, words), -np.inf)
-        beta[length] = 0.0
-        for i in range(length - 1, -1, -1):
-            beta[i] = beta[i + 1] + single[i]
-            for k in range(min(arcs.shape[1], length - i)):
-                beta[i] = np.logaddexp(beta[i], beta[i + k + 1] + self.logp[arcs[i, k]])
-        whole = alpha[length]
-        for i in range(length):
-            for k in range(min(arcs.shape[1], length - i)):
-                weight = counts * np.exp(alpha[i] + self.logp[arcs[i, k]] + beta[i + k + 1] - whole)
-                into += np.bincount(arcs[i, k], weights=weight, minlength=len(into))
-            weight = counts * np.exp(alpha[i] + single[i] + beta[i + 1] - whole)
-            for code, spelled in bytes_of.items():
-                np.add.at(into, spelled, weight[codes[i] == code].sum())
+        return alpha[length]
 
     def groups(self, words: pa.Array):
         """``(places, codes)`` of the words by length, a bounded number of
@@ -169,12 +147,24 @@ class Lattice:
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(places), n)
                 yield places, np.concatenate([np.full((1, len(places)), ord(MARK), dtype=np.uint64), codes.T.astype(np.uint64)])
 
-    def score(self, words: pa.Array) -> np.ndarray:
-        """Natural log probability of every word."""
-        out = np.zeros(len(words))
+    def score(self, words: pa.Array, weights: tuple = ()) -> np.ndarray:
+        """Natural log probability of every word; with ``weights`` (several
+        log probabilities of all pieces) one row for each of them."""
+        own = self.logp
+        rows = [np.append(w, -np.inf) for w in weights] or [own]
+        out = np.zeros((len(rows), len(words)))
         for places, codes in self.groups(words):
-            out[places] = self.forward(codes)[0][-1]
-        return out
+            arcs = self.arcs(codes)
+            for k, self.logp in enumerate(rows):
+                out[k, places] = self.forward(codes, arcs)
+        self.logp = own
+        return out if weights else out[0]
+
+
+def tempered(logp, temperature: float) -> np.ndarray:
+    """The probabilities to the power of ``temperature``, summing to one."""
+    out = np.asarray(logp) * temperature
+    return out - np.logaddexp.reduce(out)
 
 
 def is_held_out(folds: int, held: int):
@@ -204,36 +194,27 @@ def count_words(docs: DataFrame, training) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(words: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural log probabilities of all pieces, from the distinct training
-    words of ``words`` (word, n)."""
-    pieces, start, numbers = vocabulary
-    sc = words.sparkSession.sparkContext
-    logp = np.asarray(start)
-    for _ in range(rounds):
-        shipped = sc.broadcast((pieces, logp, numbers))
-
-        def run(batches):
-            lattice = Lattice(*shipped.value)
-            sums = np.zeros(len(lattice.logp))
-            for batch in batches:
-                for _, codes in lattice.groups(batch.column("word")):
-                    lattice.expected(codes, 1.0, sums)
-            found = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["piece", "n"])
-
-        sums = np.zeros(len(pieces) + 1)
-        counted = words.where("n > 0").select("word").mapInArrow(run, "piece long, n double")
-        for r in counted.groupBy("piece").agg(F.sum("n").alias("n")).collect():
-            sums[r.piece] = r.n
-        sums = sums[:-1] + PRIOR
-        logp = np.log(sums / sums.sum())
-    return logp
-
-
-def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score
-    and score (log10).
+def fit(words: DataFrame, vocabulary, temperatures: tuple = TEMPERATURES) -> float:
+    """The temperature that makes the training words of ``words`` (word, n),
+    each n times, likeliest; the first of equal ones."""
+    shipped = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        lattice = Lattice(*shipped.value)
+        weights = tuple(tempered(shipped.value[1], t) for t in temperatures)
+        sums = np.zeros(len(temperatures))
+        for batch in batches:
+            sums += lattice.score(batch.column("word"), weights) @ np.asarray(batch.column("n")).astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "lp"])
+
+    found = words.where("n > 0").mapInArrow(run, "k int, lp double").groupBy("k").agg(F.sum("lp").alias("lp")).collect()
+    total = {r.k: r.lp for r in found}
+    return temperatures[max(total, key=lambda k: (total[k], -k))] if total else 1.0
+
+
+def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
+    score (the lattice's) and mixture (log10).
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z and
     one end.  NULL, empty and blank texts have the end alone.  Repeated rows
@@ -252,19 +233,23 @@ def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2, rounds: in
     discount = totals.once / (totals.once + 2 * totals.twice) if totals.once else 0.5
     # the pieces' share; all of it where there are no training words
     spelled = discount * totals.v / n_train if totals.v else 1.0
-    end = math.log10(max(ends, 1) / max(n_train, 1))
-    logp = fit(words, vocabulary, rounds)
+    share = max(ends, 1) / max(n_train, 1)
+    end = math.log10(share)
+    word = math.log10(max(1 - share, 1 / (n_train + 1)))        # a token that is no end
+    logp = tempered(vocabulary[1], fit(words, vocabulary))
     shipped = spark.sparkContext.broadcast((vocabulary[0], logp, vocabulary[2]))
 
     def score_words(batches):
         lattice = Lattice(*shipped.value)
         for batch in batches:
             whole = np.maximum(np.asarray(batch.column("n")) - discount, 0) / max(n_train, 1)
+            paths = lattice.score(batch.column("word"))
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(np.log(whole), math.log(spelled) + lattice.score(batch.column("word"))) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(lp)], names=["word", "n", "lp"])
+                mixed = np.logaddexp(np.log(whole), math.log(spelled) + paths) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(word + paths / math.log(10)), pa.array(mixed)],
+                                             names=["word", "n", "lp", "mixed"])
 
-    scored = words.mapInArrow(score_words, "word string, n long, lp double")
+    scored = words.mapInArrow(score_words, "word string, n long, lp double, mixed double")
     dealt = with_block(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), out.alias("held")), "doc_id", BLOCK_DOCS)
 
     def vocabulary_of(docs_table):
@@ -284,11 +269,12 @@ def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2, rounds: in
 
     def summed(key, docs_table, replies):
         offsets, ids, names = vocabulary_of(docs_table)
-        n, lp = np.zeros(len(names)), np.zeros(len(names))
+        n, lp, mixed = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
         if replies.num_rows:
             at = np.asarray(replies.column("place").combine_chunks()).astype(np.int64)
             n[at] = np.asarray(replies.column("n").combine_chunks())
             lp[at] = np.asarray(replies.column("lp").combine_chunks())
+            mixed[at] = np.asarray(replies.column("mixed").combine_chunks())
         per = [np.append(0.0, np.cumsum(x[ids])) for x in ((n > 0).astype(float),)]
         spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
         unit = np.log10(n + 1) - base
@@ -298,9 +284,10 @@ def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2, rounds: in
         size = docs_table.num_rows
         return pa.table({"doc_id": docs_table.column("doc_id"), "held_out": docs_table.column("held"),
                          "n_tokens": np.diff(offsets) + 1, "n_known": known, "train_tokens": np.full(size, n_train, dtype=np.int64),
-                         "base_score": np.array(total, dtype=float), "score": np.array(model, dtype=float)})
+                         "base_score": np.array(total, dtype=float), "score": np.array(model, dtype=float),
+                         "mixture": np.array([end + mixed[ids[a:b]].sum() for a, b in spans], dtype=float)})
 
     pairs = dealt.groupBy("block").applyInArrow(asked, "word string, block long, place long")
-    replies = pairs.join(scored, "word").select("block", "place", "n", "lp")
+    replies = pairs.join(scored, "word").select("block", "place", "n", "lp", "mixed")
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixture double")

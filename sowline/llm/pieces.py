@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sowline.llm.common import Memo, slices, word_ids
+from sowline.llm.common import Memo, freed, slices, word_ids
 
 MARK = "▁"
 UNKNOWN = " ⁇ "         # what the unknown id decodes to
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shipped.value)
         tail = np.array([pieces.library.eos_id()] if end else [], dtype="<i4").tobytes()
-        for whole in batches:
+        for whole in freed(batches):
             for batch in slices(whole, "_text", SLICE_BYTES):
                 flat, first, agree = pieces.encode([t or "" for t in batch.column("_text").to_pylist()])
                 if end:
@@ -357,7 +357,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shipped.value)
-        for whole in batches:
+        for whole in freed(batches):
             step = 256
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)

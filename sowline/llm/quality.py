@@ -42,22 +42,21 @@ CUTOFFS = {
 N_CUTOFFS = sum(map(len, CUTOFFS.values()))
 
 
-def _repeat_words(hashes: Column, keys: Column, low: Column) -> Column:
+def _repeat_words(keys: Column) -> Column:
     """Words covered by a window whose hash occurs twice or more.
 
-    ``keys`` are the sorted keys of the windows: the hash in the high bits, the
-    window's index in the ``low`` low ones (as many as the text needs), so that
-    equal windows are neighbours.  All three are columns, not expressions:
-    inside a lambda an expression would be worked out anew for each element.
+    ``keys`` are the windows' (hash, index) in order, so that equal windows are
+    neighbours (empty where no hash occurs twice).  It is a column, not an
+    expression: inside a lambda an expression would be worked out anew for
+    each element.
     """
-    group = lambda i: F.call_function("shiftright", F.get(keys, i), low)
-    hits = F.filter(keys, lambda k, i: ((i > 0) & (group(i) == group(i - 1))) | F.coalesce(group(i) == group(i + 1), F.lit(False)))
-    places = F.sort_array(F.transform(hits, lambda k: k - F.call_function("shiftleft", F.call_function("shiftright", k, low), low)))
+    group = lambda i: F.get(keys, i)["h"]
+    hits = F.filter(keys, lambda k, i: ((i > 0) & (k["h"] == group(i - 1))) | F.coalesce(k["h"] == group(i + 1), F.lit(False)))
+    places = F.sort_array(F.transform(hits, lambda k: k["i"].cast("long")))
     zero = F.lit(0).cast("long")
-    covered = F.aggregate(places, F.struct(zero.alias("n"), zero.alias("end")),
-                          lambda acc, p: F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end")),
-                          lambda acc: acc["n"])
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), zero).otherwise(covered)
+    return F.aggregate(places, F.struct(zero.alias("n"), zero.alias("end")),
+                       lambda acc, p: F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end")),
+                       lambda acc: acc["n"])
 
 
 def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
@@ -69,8 +68,8 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Data
     the stratum ''.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    names = {k: unused(docs, f"quality_{k}") for k in ("words", "lines", "hashes", "keys", "low")}
-    words, lines, hashes, keys, low = (F.col(v) for v in names.values())
+    names = {k: unused(docs, f"quality_{k}") for k in ("words", "lines", "hashes", "keys")}
+    words, lines, hashes, keys = (F.col(v) for v in names.values())
     trimmed = F.btrim(t, F.lit(BLANKS))
     n = F.size(words)
     cut = docs.withColumns({
@@ -80,10 +79,9 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Data
     cut = cut.withColumn(names["hashes"], F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), n - 3),
                     lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))))
-    cut = cut.withColumn(names["low"], F.length(F.bin(n)).cast("int"))
-    shift = lambda way, x: F.call_function(way, x, low)
-    cut = cut.withColumn(names["keys"], F.sort_array(F.transform(
-        hashes, lambda h, i: shift("shiftleft", shift("shiftright", h)) + i)))
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    cut = cut.withColumn(names["keys"], F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.filter(pairs, lambda x: F.lit(False)))
+                         .otherwise(F.sort_array(pairs)))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     # The counts are chains of array expressions.  A filter on them would be
     # pushed below the projections that hold their steps, and each step would
@@ -93,7 +91,7 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang") -> Data
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(hashes, keys, low).alias("n_repeat_words"),
+        _repeat_words(keys).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")))).drop(*names.values())

@@ -29,15 +29,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sowline.llm.common import slices, stored, unused, words_of
+from sowline.llm.common import freed, slices, stored, unused, words_of
 from sowline.llm.components import components
+from sowline.operators.skew import split_lookup
 
 BITS = 64
 SEED = 42
+SMALL = 500_000            # pairs of id and hash that may be broadcast
 CHUNK = 1 << 15            # shingles whose bits are unpacked at a time
 # Rough work of one probed value against one candidate pair, for the estimate.
 PROBE_COST, PAIR_COST = 1.0, 0.2
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keep: tu
     schema = rows.drop("_text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in freed(batches):
             for batch in slices(whole, "_text"):
                 fp = pa.array(fingerprint(batch.column("_text"), shingle))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), fp], names=[*keep, "fp"])
@@ -239,16 +241,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
     return held.join(labels, "fp")
 
 
+def without(docs: DataFrame, gone: DataFrame, digest: str) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, ``digest``) is not in ``gone``
+    (columns gone_id and gone_hash, distinct pairs; a NULL id is a value).
+
+    Up to ``SMALL`` pairs are broadcast, so no text is shuffled; more of them
+    meet the documents in a shuffle join.
+    """
+    small = gone.limit(SMALL + 1).count() <= SMALL
+    return docs.join(F.broadcast(gone) if small else gone,
+                     docs["doc_id"].eqNullSafe(gone["gone_id"]) & (docs[digest] == gone["gone_hash"]), "left_anti")
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate group: that of the
     smallest doc_id.  Of several rows with that id the first by text hash
-    stays.  Columns are unchanged."""
-    digest, nth = unused(docs, "text_hash"), unused(docs, "nth")
+    stays, once.  Columns are unchanged."""
+    digest = unused(docs, "text_hash")
     marked = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
     classes = near_duplicates(marked, shingle, max_bits, extra=(digest,))
-    first = (classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", digest)).alias("x"))
-             .select(F.col("x.doc_id").alias("first_id"), F.col(f"x.{digest}").alias("first_hash")))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["first_id"]) & (marked[digest] == first["first_hash"]),
-                       "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy("doc_id"))
-    return kept.withColumn(nth, rank).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(classes.groupBy("root", "doc_id", digest).agg(F.count(F.lit(1)).alias("copies")), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", digest)).alias("x"))
+    named = split_lookup(rows, first, ["root"], "inner")
+    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col(digest) == F.col(f"x.{digest}"))
+    # neither rows to drop nor repeated ones come through the anti join
+    gone = stored(named.where(~stays | (F.col("copies") > 1))
+                  .select(F.col("doc_id").alias("gone_id"), F.col(digest).alias("gone_hash"), stays.alias("repeated")), "gone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = without(marked, gone.drop("repeated"), digest).select(*columns)
+    # the rows that stay but are there several times: one of each
+    again = F.broadcast(gone.where("repeated")) if gone.limit(SMALL + 1).count() <= SMALL else gone.where("repeated")
+    several = marked.join(again, marked["doc_id"].eqNullSafe(again["gone_id"]) & (marked[digest] == again["gone_hash"]), "left_semi")
+    one = several.groupBy("doc_id", digest).agg(F.first(F.struct(*columns)).alias("row"))
+    return once.unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sowline.llm import bpe
+from sowline.llm.common import Memo
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -36,7 +37,8 @@ def test_equals_reference_library(codec, text):
 
 
 def test_small_cache_gives_the_same(codec, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    monkeypatch.setattr(codec, "memo", Memo(1500))
     small = bpe.Codec(codec.whole, public_tokenizers.PATTERN)
     for text in TEXTS:
         assert small.encode(text) == codec.encode(text)

@@ -34,13 +34,31 @@ def test_forward_is_the_sum_over_all_segmentations():
     assert model.score(pa.array(words)) == pytest.approx([all_paths(w, VOCABULARY[1]) for w in words])
 
 
-def test_expected_counts_spell_every_character():
+def test_temperature_is_the_likeliest(spark):
     model = lattice.Lattice(VOCABULARY[0], np.array(VOCABULARY[1]), VOCABULARY[2])
-    sums = np.zeros(len(model.logp))
-    for _, codes in model.groups(pa.array(["reading", "readers", "x"])):
-        model.expected(codes, 2.0, sums)
-    size = sum(sums[i] * len(p) for i, (p, n) in enumerate(zip(VOCABULARY[0], VOCABULARY[2])) if n < 0)
-    assert size == pytest.approx(2 * sum(len(w) + 1 for w in ("reading", "readers", "x")))
+    counts = {"the": 500, "reading": 3, "qzx日": 2}
+    words = spark.createDataFrame([*counts.items(), ("unseen" * 9, 0)], "word string, n long")
+    likely = {}
+    for t in lattice.TEMPERATURES:
+        logp = lattice.tempered(VOCABULARY[1], t)
+        assert np.exp(logp).sum() == pytest.approx(1)
+        likely[t] = sum(n * all_paths(w, logp) for w, n in counts.items())
+        assert model.score(pa.array(list(counts)), (logp,))[0] == pytest.approx([all_paths(w, logp) for w in counts])
+    assert lattice.fit(words, VOCABULARY) == max(likely, key=likely.get)
+    assert lattice.fit(words.where("n = 0"), VOCABULARY) == 1.0
+
+
+def test_whole_scores_are_sums_over_all_segmentations(spark):
+    texts = {1: "the cat sat", 2: "The mat\tthe 日é", 3: "", 5: "a cat a mat zqz", 6: None, 8: "the"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lower = {i: (t or "").lower().split() for i, t in texts.items()}
+    train = Counter(w for i, ws in lower.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in texts)
+    share = ends / (ends + sum(train.values()))
+    likely = lambda t: sum(n * all_paths(w, lattice.tempered(VOCABULARY[1], t)) for w, n in train.items())
+    logp = lattice.tempered(VOCABULARY[1], max(lattice.TEMPERATURES, key=likely))
+    want = {i: math.log10(share) + sum(math.log10(1 - share) + all_paths(w, logp) / math.log(10) for w in ws) for i, ws in lower.items()}
+    assert {r.doc_id: r.score for r in lattice.scores(docs, PATH).collect()} == pytest.approx(want)
 
 
 def test_scores(spark):

@@ -59,3 +59,12 @@ def test_stage_keeps_columns(spark):
     out = quality.keep_good(docs, labels)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
     assert quality.keep_good(docs.limit(0), labels).count() == 0 and quality.keep_good(docs, labels.limit(0)).count() == 1
+
+
+def test_windows_whose_hashes_agree_in_many_bits(spark):
+    """Only whole hashes make windows equal: these share the top 41 bits."""
+    base = 0x123456789AB << 20
+    for hashes, want in (([base, base + 1, base + 2, -base], 0), ([base, 5, base, base + 1], 5), ([], 0)):
+        df = spark.createDataFrame([(hashes,)], "h array<bigint>")
+        keys = df.select(F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))).alias("k"))
+        assert keys.select(quality._repeat_words(F.col("k")).alias("n")).first().n == want

@@ -77,3 +77,11 @@ def test_thresholds_cover_the_distance():
 def test_component_chain(spark):
     chain = spark.range(0, 200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(201)}
+
+
+def test_keep_one_of_many_equal_rows_and_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(None, "same text here", i) for i in range(30)] + [(4, "same text here", 1), (4, "same text here", 1), (9, "other words there", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nth int").repartition(5)
+    for small in (simhash.SMALL, 0):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == [(4, "same text here", 1), (9, "other words there", 2)]
