@@ -9,11 +9,14 @@ rather than pre-narrowing by hand.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from sowline.session import checkpoint_dir
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -29,6 +32,16 @@ def read_materialized(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a result as Parquet into the shared checkpoint folder and read
+    it back.  Later reads prune columns and nested fields, and a lost executor
+    costs a re-read only."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sowline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              header: bool = True, **options) -> DataFrame:
     """CSV with header and an explicit schema (no inference pass over the data)."""
