@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sowline.operators.skew import split_lookup
 
 def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -118,8 +119,11 @@ def remove_rows(df: DataFrame, to_remove: DataFrame, mode: str = "per_column") -
     * ``per_column``: pandas ``df.isin(to_remove.to_dict('list')).all(axis=1)``
       -- a row goes when *each* of its values occurs somewhere in the same
       column of ``to_remove`` (M17), which can also drop rows never listed.
-      One null-safe membership flag per column (distinct values of that
-      column, joined), then the AND.
+      NULL occurs where NULL is listed.
+
+    Per column, both sides are unpivoted to (column, value) and met once,
+    whatever the number of columns; a distinct row whose every value was found
+    is then dropped.  A value that very many rows share is salted.
     """
     cols = df.columns
     if mode == "exact":
@@ -127,16 +131,14 @@ def remove_rows(df: DataFrame, to_remove: DataFrame, mode: str = "per_column") -
         return df.join(to_remove, cond, "left_anti")
     if mode != "per_column":
         raise ValueError(mode)
-    out = df
-    flags = []
-    for i, c in enumerate(cols):
-        vals = to_remove.select(F.col(c).alias(f"__v{i}")).distinct().withColumn(f"__m{i}", F.lit(True))
-        out = out.join(vals, out[c].eqNullSafe(vals[f"__v{i}"]), "left").drop(f"__v{i}")
-        flags.append(F.coalesce(F.col(f"__m{i}"), F.lit(False)))
-    all_in = flags[0]
-    for f in flags[1:]:
-        all_in = all_in & f
-    return out.where(~all_in).select(*cols)
+    # a value as text after a letter, so that NULL is a value of its own
+    value = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("__c"), value(c).alias("__v")) for i, c in enumerate(cols)])).alias("__x")
+    listed = to_remove.select(*cols).select(cells).select("__x.*").distinct().withColumn("__hit", F.lit(1))
+    rows = df.distinct().select(F.struct(*cols).alias("__row"), cells).select("__row", "__x.*")
+    found = split_lookup(rows, listed, ["__c", "__v"], "inner").groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
+    gone = found.where(F.col("__n") == len(cols)).select(*[F.col("__row")[c].alias(f"__g{i}") for i, c in enumerate(cols)])
+    return df.join(gone, [df[c].eqNullSafe(gone[f"__g{i}"]) for i, c in enumerate(cols)], "left_anti")
 
 
 def union_all(frames: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from sowline.functions.text import SERIAL_PATTERN, decode_hopper, safe_decimal
 from sowline.operators.relational import remove_rows, union_all
 from sowline.operators.reshape import pivot_table
+from sowline.operators.skew import split_lookup
 from sowline.operators.textids import RANGE_PATTERN, extract_ids
 from sowline.operators.windows import duplicate_flag
 from sowline.plans.registry import register
-from sowline.session import materialize
-from sowline.sources.tables import read_table
+from sowline.session import checkpoint_dir
+from sowline.sources.tables import read_result, read_table, store, write_set
 
 
 def T(spark, base, name):
@@ -121,11 +122,15 @@ def attach_dates(spark, base, mode: str = "per_column"):
     # the union feeds the duplicate probe and every per-column membership test:
     # cut the lineage once (reliable checkpoint in the session's checkpoint
     # folder) instead of re-running the joins for each consumer
-    final = materialize(union_all([merged1, merged2, rest], allow_missing=True))
-    flagged = duplicate_flag(final, ["cassette_id", "cell_number"], "__dup")
-    # small, and read once per column by the membership test: stored as well
-    to_delete = materialize(flagged.where(F.col("__dup") & F.col("rel_date").isNull()).drop("__dup"))
-    return remove_rows(final, to_delete, mode=mode)
+    final = store(union_all([merged1, merged2, rest], allow_missing=True), "attached")
+    flagged = duplicate_flag(final.select("cassette_id", "cell_number", "set_id", "set_name", "cat_type", "rel_date"), ["cassette_id", "cell_number"], "__dup")
+    # rows to delete have no date and so no release columns: a dated row can't
+    # match them and is never shuffled, an undated one matches in those columns
+    own = ["cassette_id", "cell_number", "set_id", "set_name", "cat_type"]
+    listed = flagged.where(F.col("__dup") & F.col("rel_date").isNull()).select(*own)
+    undated = final.where(F.col("rel_date").isNull())
+    kept = remove_rows(undated.select(*own), listed, mode=mode)
+    return final.where(F.col("rel_date").isNotNull()).unionByName(kept, allowMissingColumns=True)
 
 
 SQL_ATTACH = f"""
@@ -149,11 +154,12 @@ fin AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM rest
 dup AS (SELECT *, count(*) OVER (PARTITION BY cassette_id, cell_number) > 1 AS is_dup FROM fin),
 del AS (SELECT * FROM dup WHERE is_dup AND rel_date IS NULL),
 kept AS (
-  SELECT f.* FROM fin f
-  WHERE NOT (""" + "\n    AND ".join(
-    f"EXISTS (SELECT 1 FROM del WHERE del.{c} IS NOT DISTINCT FROM f.{c})"
-    for c in ("cassette_id", "cell_number", "set_id", "set_name", "cat_type", "rel_set_id",
-              "rel_set_name", "rel_date")) + "))"
+  SELECT * FROM fin WHERE rel_date IS NOT NULL
+  UNION ALL
+  SELECT f.* FROM (SELECT * FROM fin WHERE rel_date IS NULL) f
+""" + "".join(f"""  LEFT JOIN (SELECT DISTINCT coalesce('v' || {c}, 'n') AS v, 1 AS hit FROM del) k{i} ON k{i}.v = coalesce('v' || f.{c}, 'n')
+""" for i, c in enumerate(("cassette_id", "cell_number", "set_id", "set_name", "cat_type"))) + """
+  WHERE k0.hit IS NULL OR k1.hit IS NULL OR k2.hit IS NULL OR k3.hit IS NULL OR k4.hit IS NULL)"""
 
 
 @register("attach_date_dedupe", sql=f"""
@@ -175,15 +181,58 @@ def q_release_date_pivot(spark, base):
     return pivot_table(counts, ["rel_date"], "cat_type", {"cat_f": "F", "cat_o": "O"}, "n", agg="max")
 
 
-def release_workbook(spark, base, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """The date-attachment results written as named result sets
-    (one folder per sheet of the source workbook) under a shared ``out_dir``."""
-    from sowline.sources.tables import write_results
-    kept = attach_dates(spark, base)
-    counts = kept.where(F.col("rel_date").isNotNull()) \
-                 .groupBy("rel_date", "cat_type").agg(F.count(F.lit(1)).alias("n"))
-    return write_results({
-        "cells_with_dates": kept,
-        "release_date_pivot": pivot_table(counts, ["rel_date"], "cat_type",
-                                          {"cat_f": "F", "cat_o": "O"}, "n", agg="max"),
-    }, out_dir, fmt=fmt)
+_WRITTEN: dict[tuple, tuple[str, str]] = {}
+
+
+def release_workbook(spark, base, out_dir: str) -> str:
+    """The five results of the date chain in one set: every cell with
+    its dates, and cells per category by each of its four dates.  The chain is
+    run once and stored; all results are read off it."""
+    from sowline.plans.dates import dated_cells
+    release = attach_dates(spark, base).groupBy("cassette_id", "cell_number").agg(F.max("rel_date").alias("release_date"))
+    cells = store(split_lookup(dated_cells(spark, base), release, ["cassette_id", "cell_number"]), "workbook-cells")
+
+    def by_date(column):
+        n = cells.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("day"), "cat_type").agg(F.count(F.lit(1)).alias("n_cells"))
+        return pivot_table(n, ["day"], "cat_type", {f"n_{k.lower().replace(' ', '_')}": k for k in KINDS}, "n_cells", agg="max")
+
+    return write_set({"cells": cells, **{f"by_{c}": by_date(c) for c in SHEETS}}, out_dir)
+
+
+SHEETS = ("available_date", "rte_date", "finalized_date", "release_date")
+KINDS = ("Cat 1", "Cat 2", "Cat 3", "border", "buffer")
+
+
+def _sheet(spark, base, name):
+    """A result of the workbook, which is written once a session."""
+    key = (spark.sparkContext.applicationId, *sorted(f for t in ("lineitem", "part", "events", "orders", "supplier") for f in T(spark, base, t).inputFiles()))
+    if key not in _WRITTEN:
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/sowline-workbook"
+        _WRITTEN[key] = (folder, release_workbook(spark, base, folder))
+    folder, run = _WRITTEN[key]
+    return read_result(spark, folder, name, run)
+
+
+def workbook_sql() -> str:
+    from sowline.plans.dates import three_dates_sql
+    attach = SQL_ATTACH.replace("cells AS (", "rcells AS (", 1).replace("FROM cells", "FROM rcells")
+    return three_dates_sql(True) + "," + attach + """,
+release AS (SELECT cassette_id, cell_number, max(rel_date) AS release_date FROM kept GROUP BY 1, 2),
+book AS (SELECT dated.*, release_date FROM dated LEFT JOIN release USING (cassette_id, cell_number))"""
+
+
+@register("workbook_cells", sql=f"WITH {workbook_sql()} SELECT * FROM book")
+def q_workbook_cells(spark, base):
+    return _sheet(spark, base, "cells")
+
+
+def _register_sheets():
+    for column in SHEETS:
+        counts = ", ".join(f"nullif(count(*) FILTER (cat_type = '{k}'), 0) AS n_{k.lower().replace(' ', '_')}" for k in KINDS)
+
+        @register(f"workbook_by_{column}", sql=f"WITH {workbook_sql()} SELECT {column} AS day, {counts} FROM book WHERE {column} IS NOT NULL GROUP BY 1")
+        def q_sheet(spark, base, column=column):
+            return _sheet(spark, base, f"by_{column}")
+
+
+_register_sheets()

@@ -8,11 +8,13 @@ rather than pre-narrowing by hand.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowline.session import checkpoint_dir
@@ -75,6 +77,37 @@ def write_results(results: Mapping[str, DataFrame], out_dir: str, fmt: str = "pa
     return written
 
 
+def write_set(results: Mapping[str, DataFrame], out_dir: str) -> str:
+    """Several results in one write, seen all or not at all.
+
+    Rows are tagged by result and written once, partitioned by the tag, into a
+    folder of their own; a manifest that names the folder and every result's
+    columns is written last.  Readers go by the manifest, so they never see
+    half a set, and a failed write leaves the former set in place.  Columns of
+    one name must have one type in all results.
+    """
+    tagged = None
+    for name, df in results.items():
+        part = df.withColumn("result", F.lit(name))
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
+    spark, run = tagged.sparkSession, uuid.uuid4().hex
+    tagged.write.partitionBy("result").parquet(f"{out_dir.rstrip('/')}/{run}")
+    manifest = json.dumps({"run": run, "results": {n: df.columns for n, df in results.items()}})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("append").text(f"{out_dir.rstrip('/')}/manifest")
+    return run
+
+
+def read_result(spark: SparkSession, out_dir: str, name: str, run: str | None = None) -> DataFrame:
+    """One result of the set that ``write_set`` wrote last, or of the given run."""
+    folder = f"{out_dir.rstrip('/')}/manifest"
+    # one line a set that was written here
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_modification_time").alias("at"))
+    newest = lines.where(F.get_json_object("value", "$.run") == run) if run else lines
+    manifest = json.loads(newest.orderBy(F.col("at").desc()).first().value)
+    table = spark.read.parquet(f"{out_dir.rstrip('/')}/{manifest['run']}").where(F.col("result") == name)
+    return table.select(*manifest["results"][name])
+
+
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """LIMIT n (head); the limit is the feature here."""
     return df.limit(n)

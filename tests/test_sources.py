@@ -25,12 +25,27 @@ def test_materialize_uses_session_checkpoint_dir(spark):
     assert df.count() == 2 and d
 
 
-def test_release_workbook_writes_named_results(spark):
-    from sowline.plans.textual import release_workbook
+def test_write_set_is_seen_by_its_manifest(spark):
+    from sowline.sources.tables import read_result, write_set
+    out = tempfile.mkdtemp(prefix="sowline-set-")
+    a = constants(spark, [(1, "x"), (2, None)], "k long, v string")
+    b = constants(spark, [(7.5,)], "n double")
+    first = write_set({"a": a, "b": b}, out)
+    assert sorted(map(tuple, read_result(spark, out, "a").collect())) == [(1, "x"), (2, None)]
+    # a second set whose write failed half way: no manifest line, so the first one is still read
+    b.write.parquet(os.path.join(out, "unfinished"))
+    assert read_result(spark, out, "b").columns == ["n"] and read_result(spark, out, "b").first().n == 7.5
+    second = write_set({"a": a.where("k = 1")}, out)
+    assert read_result(spark, out, "a").count() == 1 and read_result(spark, out, "a", first).count() == 2 and first != second
+
+
+def test_release_workbook_holds_five_results(spark):
+    from sowline.plans.textual import SHEETS, release_workbook
+    from sowline.sources.tables import read_result
     out = tempfile.mkdtemp(prefix="sowline-workbook-")
-    paths = release_workbook(spark, "/root/testdata/sf0.001", out)
-    assert set(paths) == {"cells_with_dates", "release_date_pivot"}
-    assert read_materialized(spark, paths["release_date_pivot"]).count() > 0
+    run = release_workbook(spark, "/root/testdata/sf0.001", out)
+    assert read_result(spark, out, "cells", run).count() > 0
+    assert all(read_result(spark, out, f"by_{c}", run).columns[0] == "day" for c in SHEETS)
 
 
 def test_plan_sheet_round_trip(spark):
