@@ -30,7 +30,7 @@ from xxhash import xxh64_intdigest
 from sowline.llm.common import Memo, freed, slices
 
 MAX_ENTRIES = 1 << 20
-PAIRS = 1 << 17             # symbol pairs whose rank a Python worker remembers
+PAIRS = 1 << 18             # symbol pairs whose rank a Python worker remembers
 BUCKET = 4                  # entries per bucket of the perfect hash, on average
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1

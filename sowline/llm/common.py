@@ -20,7 +20,7 @@ SLICE_BYTES = 4 << 20
 # Documents of one block (see with_block).
 BLOCK_DOCS = 2048
 # Bytes of the results that a Python worker remembers (see Memo).
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 96 << 20
 # A NULL document id sorts after every other id.
 NO_ID = (1 << 63) - 1
 
