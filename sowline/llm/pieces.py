@@ -29,6 +29,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ LOW = (1 << BITS) - 1
 NEVER = np.int64(1) << 62       # after every rank
 SHORT = 48              # characters of a segment that is merged beside others of its length
 CELLS = 1 << 18         # symbols worked on at a time
+GROUP = 16              # words that the library encodes in a row
+MEMO_BYTES = 64 << 20   # of the segments that a worker remembers
 SLICE_BYTES = 8 << 20   # of texts whose segments are looked up together
 
 
@@ -96,7 +99,11 @@ class Pieces:
         self.crossing = any(a != MARK and b == MARK for p in normal for a, b in zip(p, p[1:]))
         self.feeds = any("\n" in p for p in normal)
         self.surface = [self._surface(i) for i in range(size)]
-        self.memo = Memo()
+        # pieces as bytes; ids that need a closer look: raw bytes, and control or unknown ids
+        self.spelled = pa.array([x.encode("utf-8", "surrogateescape") for x in self.surface], pa.binary())
+        self.special = np.array([sp.is_byte(i) and int(sp.id_to_piece(i)[3:5], 16) > 127 for i in range(size)])
+        self.plain = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for i in range(size)])
+        self.memo = Memo(MEMO_BYTES)
 
     @staticmethod
     def _bytes(text: str) -> str:
@@ -257,9 +264,12 @@ class Pieces:
         segments, first = self._segments(self.library.normalize(texts) if texts else [])
         number, distinct = word_ids(segments)
         names = distinct.to_pylist()
-        known = self.memo.get
-        ids = list(map(known, names))
-        fresh = [i for i, x in enumerate(ids) if x is None]
+        ids = list(map(self.memo.young.get, names))
+        fresh = []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self.memo.get(names[i])
+            if ids[i] is None:
+                fresh.append(i)
         new = [names[i] for i in fresh]
         for i, found in zip(fresh, self.merge_many(new)):
             ids[i] = found
@@ -275,16 +285,27 @@ class Pieces:
 
     def _checked(self, new: dict[str, bytes]) -> bool:
         """Whether the library encodes these segments of normalised texts
-        alike.  Its normaliser puts a mark in front: a segment's own, or that
-        of a line feed before it, whose ids are left out again."""
-        feed = len(self.feed) if self.prefix else 0
-        starts = [not self.prefix or s.startswith(MARK) and s != MARK for s in new]
-        asked = [s[1:] if a and self.prefix else s if a else "\n" + s for a, s in zip(starts, new)]
+        alike.  Its normaliser puts a mark in front: that of a segment's own or
+        that of a line feed before it, whose ids are left out again.  Words
+        that begin with a mark are asked ``GROUP`` in a row; a run of marks
+        would go on in the next word's mark and is asked alone."""
+        if not self.prefix or self.crossing:
+            plain, rest, feed = [], list(new), 0
+        else:
+            plain = [s for s in new if s[0] == MARK and s[-1] != MARK]
+            rest = [s for s in new if s[0] != MARK or s[-1] == MARK]
+            feed = len(self.feed)
+        groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
+        alone = ["\n" + s if feed else s for s in rest]
+        if self.prefix and self.crossing:
+            alone = [s[1:] if s[:1] == MARK else s for s in rest]
+        asked = ["".join(g)[1:] for g in groups] + alone
         theirs = self.library.encode(asked, num_threads=1) if asked else []
-        theirs = [t if a else t[feed:] for a, t in zip(starts, theirs)]
+        theirs[len(groups):] = [t[feed:] for t in theirs[len(groups):]]
+        ours = [b"".join(map(new.__getitem__, g)) for g in groups] + [new[s] for s in rest]
         sizes = [4 * n for n in map(len, theirs)]
         flat = np.fromiter(chain.from_iterable(theirs), dtype="<i4", count=sum(sizes) // 4)
-        return sizes == list(map(len, new.values())) and flat.tobytes() == b"".join(new.values())
+        return sizes == list(map(len, ours)) and flat.tobytes() == b"".join(ours)
 
     def decode(self, ids: list[int]) -> str:
         text = "".join(map(self.surface.__getitem__, ids))
@@ -302,6 +323,26 @@ class Pieces:
         return text
 
 
+    def decode_many(self, lists: pa.Array) -> list[str]:
+        """``decode`` of every list of ids: pieces are looked up and joined for
+        all lists at once; lists with raw bytes are decoded one by one."""
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        ids = np.asarray(lists.values)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < self.size:
+            raise ValueError("an id is outside the vocabulary")
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.spelled.take(pa.array(ids))), b"")
+        raw = np.concatenate([[0], np.cumsum(self.special[ids])])[offsets]
+        out = []
+        for i, (a, b, text) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), joined.to_pylist())):
+            if raw[i] < raw[i + 1] or (a < b and not self.plain[ids[a]]):
+                out.append(self.decode(ids[a:b].tolist()))
+            else:
+                text = text.decode()
+                out.append(text[1:] if self.prefix and text.startswith(" ") else text)
+        return out
+
+
 _MODELS: dict[bytes, Pieces] = {}
 
 
@@ -361,8 +402,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             step = 256
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                lists = [x or [] for x in batch.column(ids).to_pylist()]
-                texts = [pieces.decode(x) for x in lists]
+                column = pc.if_else(pc.is_valid(batch.column(ids)), batch.column(ids), pa.scalar([], batch.column(ids).type))
+                texts = pieces.decode_many(column)
+                lists = column.to_pylist()
                 theirs = pieces.library.decode(lists, num_threads=1) if lists else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()),
                                                   pa.array([a == b for a, b in zip(texts, theirs)])],

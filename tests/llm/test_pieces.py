@@ -1,8 +1,9 @@
 import hashlib
 import random
 
-import pytest
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from sentencepiece import SentencePieceProcessor
 
 from sowline.llm import pieces
@@ -48,14 +49,21 @@ def test_side_by_side_equals_the_agenda(codec):
 
 def test_any_ids_decode_as_in_the_library(codec, library):
     rng = random.Random(7)
-    for _ in range(4000):
-        ids = [rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(190, 259), rng.randrange(32000), 29871]) for _ in range(rng.randrange(7))]
-        assert codec.decode(ids) == library.decode(ids), ids
+    lists = [[rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(190, 259), rng.randrange(32000), 29871]) for _ in range(rng.randrange(7))]
+             for _ in range(4000)]
+    want = [library.decode(ids) for ids in lists]
+    assert [codec.decode(ids) for ids in lists] == want
+    assert codec.decode_many(pa.array(lists, pa.list_(pa.int32()))) == want
+    with pytest.raises(ValueError, match="outside"):
+        codec.decode_many(pa.array([[32000]], pa.list_(pa.int32())))
 
 
 def test_a_segment_that_differs_is_noticed(codec):
     assert codec._checked({"▁the": codec.merge_many(["▁the"])[0]})
     assert not codec._checked({"▁the": codec.merge_many(["▁of"])[0]})
+    many = ["▁the", "▁▁▁", "▁of", "x", "\n", "▁", "▁▁a"] + [f"▁w{i}" for i in range(40)]
+    ids = dict(zip(many, codec.merge_many(many)))
+    assert codec._checked(ids) and not codec._checked({**ids, "▁w7": ids["▁w8"]}) and not codec._checked({**ids, "x": ids["▁w8"]})
 
 
 def test_other_kinds_of_models_are_refused(codec, monkeypatch):
