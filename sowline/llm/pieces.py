@@ -280,7 +280,10 @@ class Pieces:
         place = np.concatenate([[0], np.cumsum(size)])[:-1]
         sizes = size[number]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = pool[np.repeat(place[number] - ends[:-1], sizes) + np.arange(ends[-1])]
+        short = np.int32 if max(len(pool), int(ends[-1])) < 1 << 31 else np.int64
+        at = np.repeat((place[number] - ends[:-1]).astype(short), sizes)
+        at += np.arange(ends[-1], dtype=short)
+        flat = pool[at]
         return flat, ends[first], self._checked({s: ids[i] for s, i in zip(new, fresh)})
 
     def _checked(self, new: dict[str, bytes]) -> bool:
