@@ -119,13 +119,12 @@ def q_having_duplicates(spark, base):
 
 @register("reconcile_feeds", sql="""
 WITH a AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day FROM events
-           WHERE value > 100 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'),
+           WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'),
 b AS (SELECT user_id, event_id FROM events WHERE event_type = 'click')
 SELECT a.user_id, a.event_id, a.day FROM a JOIN b ON a.user_id = b.user_id AND a.event_id = b.event_id""")
 def q_reconcile_feeds(spark, base):
     ev = T(spark, base, "events")
-    a = ev.where((F.col("value") > 100) & (F.col("ts") >= ntz("2024-01-05"))
-                 & (F.col("ts") < ntz("2024-01-25"))) \
+    a = ev.where((F.col("ts") >= ntz("2024-01-05")) & (F.col("ts") < ntz("2024-01-25"))) \
           .select("user_id", "event_id", utc_day("ts").alias("day"))
     b = ev.where(F.col("event_type") == "click").select("user_id", "event_id")
     return reconcile(a, b, ["user_id", "event_id"])

@@ -69,8 +69,8 @@ WITH s AS (SELECT l_suppkey, """ + ",\n       ".join(
     f"sum(CASE WHEN l_returnflag = '{f}' AND l_linestatus = '{s}' THEN l_quantity ELSE 0 END)"
     f" AS qty_{f.lower()}{s.lower()}" for f, s in _COMBOS) + """
   FROM lineitem GROUP BY l_suppkey)
-SELECT *, CASE WHEN qty_af + qty_nf >= qty_ao THEN 'Enough for GL' ELSE 'Not Enough for GL' END
-          AS gl_check,
+SELECT *, CASE WHEN qty_af + qty_nf >= qty_ao THEN 'Enough for ready sets' ELSE 'Not enough for ready sets' END
+          AS ready_check,
           CASE WHEN qty_af + qty_nf + qty_rf >= qty_ao + qty_no + qty_ro THEN 'Enough for all'
                ELSE 'Not Enough for all' END AS all_check
 FROM s""")
@@ -80,8 +80,8 @@ def q_conditional_sums(spark, base):
         sum_when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s),
                  F.col("l_quantity"), 0.0).alias(f"qty_{f.lower()}{s.lower()}") for f, s in _COMBOS])
     c = F.col
-    return sums.withColumn("gl_check", F.when(c("qty_af") + c("qty_nf") >= c("qty_ao"),
-                                              "Enough for GL").otherwise("Not Enough for GL")) \
+    return sums.withColumn("ready_check", F.when(c("qty_af") + c("qty_nf") >= c("qty_ao"),
+                                              "Enough for ready sets").otherwise("Not enough for ready sets")) \
                .withColumn("all_check", F.when(c("qty_af") + c("qty_nf") + c("qty_rf")
                                                >= c("qty_ao") + c("qty_no") + c("qty_ro"),
                                                "Enough for all").otherwise("Not Enough for all"))
