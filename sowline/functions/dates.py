@@ -9,6 +9,8 @@ microseconds so that sums are exact and independent of row order.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,24 @@ def local_day(ts, tz: str) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(ts)))
 
 
+def local_start(day, tz: str) -> Column:
+    """The first UTC instant (timestamp_ntz) of a calendar day in zone ``tz``,
+    clock changes included; constant for a literal day."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), F.lit(str(day)).cast("timestamp_ntz"))
+
+
+def in_local_days(ts, tz: str, first: dt.date | None = None, last: dt.date | None = None) -> Column:
+    """``first <= DATE(ts, tz) <= last`` as a range of the raw UTC column, which
+    the parquet reader can skip row groups by; an end left out is open."""
+    c, cond = _c(ts), F.lit(True)
+    if first is not None:
+        cond = c >= local_start(first, tz)
+    if last is not None:
+        below = c < local_start(last + dt.timedelta(days=1), tz)
+        cond = below if first is None else cond & below
+    return cond
+
+
 def month_day(d) -> Column:
     """strftime('%m-%d')."""
     return F.date_format(_c(d), "MM-dd")
