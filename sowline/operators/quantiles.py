@@ -151,6 +151,48 @@ def exact_quantiles(df: DataFrame, group_by: Sequence[str], value: str,
                              for i, name in enumerate(names)])
 
 
+def overall_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], levels: int = 2) -> DataFrame:
+    """One row with one column per entry of ``probs`` over all rows.
+
+    Without a group key the targets are two rows a probability, so they are
+    broadcast and each level reads the scan again: only bucket counts are
+    shuffled, and of the values only those in the innermost chosen buckets, at
+    most 2^(52 - 16 * levels) distinct ones a target.  NULL and NaN are
+    ignored; without any value the result is NULL.
+    """
+    vals = with_order_buckets(df.select(F.col(value).cast("double").alias("__v"))
+                              .where(F.col("__v").isNotNull() & ~F.isnan("__v")), "__v", levels)
+    names = list(probs)
+    target = ["__q", "__side", "__frac", "__k"]
+    end = lambda w, b: F.sum("__cnt").over(w.orderBy(b).rowsBetween(Window.unboundedPreceding, 0))
+
+    # bucket counts: at most 2^17 rows a binary exponent
+    every = Window.partitionBy()
+    hist = vals.groupBy("__b0").agg(F.count(F.lit(1)).alias("__cnt")) \
+        .withColumns({"__end": end(every, "__b0"), "__n": F.sum("__cnt").over(every)})
+    tgt = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(probs[name])).alias("p"), F.lit(side).alias("side"))
+                    for i, name in enumerate(names) for side in (0, 1)])
+    h = F.col("__t.p") * (F.col("__n") - 1).cast("double")
+    ranks = hist.withColumn("__t", F.explode(tgt)).withColumn("__h", h).withColumn("__k0", F.floor("__h").cast("long")) \
+        .withColumn("__k", F.when(F.col("__t.side") == 0, F.col("__k0")).otherwise(F.least(F.col("__k0") + 1, F.col("__n") - 1)))
+    hit = (F.col("__k") < F.col("__end")) & (F.col("__k") >= F.col("__end") - F.col("__cnt"))
+    inside = (F.col("__k") - (F.col("__end") - F.col("__cnt"))).alias("__k")
+    chosen = ranks.where(hit).select(F.col("__t.q").alias("__q"), F.col("__t.side").alias("__side"),
+                                     (F.col("__h") - F.col("__k0").cast("double")).alias("__frac"), inside, "__b0")
+    path, one = ["__b0"], Window.partitionBy("__q", "__side")
+    for i in range(1, levels):
+        b = f"__b{i}"
+        counts = vals.join(F.broadcast(chosen), path).groupBy(*target, *path, b).agg(F.count(F.lit(1)).alias("__cnt"))
+        chosen = counts.withColumn("__end", end(one, b)).where(hit).select("__q", "__side", "__frac", inside, *path, b)
+        path.append(b)
+    last = vals.join(F.broadcast(chosen), path).groupBy(*target, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
+    picked = last.repartition(1).withColumn("__end", end(one, "__v")).where(hit)
+    at = lambda i, side, c: F.max(F.when((F.col("__q") == i) & (F.col("__side") == side), F.col(c)))
+    row = picked.groupBy().agg(*[a for i, _ in enumerate(names) for a in (
+        at(i, 0, "__v").alias(f"__a{i}"), at(i, 1, "__v").alias(f"__z{i}"), at(i, 0, "__frac").alias(f"__f{i}"))])
+    return row.select(*[lerp(F.col(f"__a{i}"), F.col(f"__z{i}"), F.col(f"__f{i}")).alias(name) for i, name in enumerate(names)])
+
+
 def describe(df: DataFrame, group_by: Sequence[str], value: str, digits: int | None = 1,
              stats: Sequence[str] = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")) -> DataFrame:
     """pandas ``groupby(...)[value].describe()`` with optional numpy-style rounding.

@@ -53,6 +53,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     return reader.csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
+                     name: str = "csv", **options) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejects) of a CSV; no line is lost.
+
+    A line with a value that its column cannot hold, or with another number of
+    fields, is a reject: its whole text in ``line``.  An empty field is NULL
+    and no reject.  The file is parsed once, with all columns, into the
+    checkpoint folder: a parse of fewer columns would not see bad values in
+    the others.
+    """
+    bad = "__line"
+    raw = read_csv(spark, path, T.StructType([*schema.fields, T.StructField(bad, T.StringType())]), header,
+                   mode="PERMISSIVE", columnNameOfCorruptRecord=bad, **options)
+    parsed = store(raw, name)
+    good = parsed.where(F.col(bad).isNull()).drop(bad)
+    return good, parsed.where(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+
+
 def constants(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
     """A small literal dimension (machine lists, site codes, scenarios)."""
     return spark.createDataFrame([tuple(r) for r in rows], schema=schema)
