@@ -60,6 +60,10 @@ def fused_multiply_add(a: Column, b: Column, c: Column) -> Column:
 
 
 def lerp(lo: Column, hi: Column, frac: Column) -> Column:
-    """lo * (1 - frac) + hi * frac, fused; exactly lo when frac is 0."""
-    return F.when(frac == 0, lo).otherwise(
-        fused_multiply_add(lo, F.lit(1.0) - frac, hi * frac))
+    """lo * (1 - frac) + hi * frac, fused; exactly lo when frac is 0.
+
+    Infinities and numbers whose split would overflow are interpolated plainly.
+    """
+    plain = lo * (F.lit(1.0) - frac) + hi * frac
+    large = (F.abs(lo) >= 1e290) | (F.abs(hi) >= 1e290)
+    return F.when(frac == 0, lo).when(large, plain).otherwise(fused_multiply_add(lo, F.lit(1.0) - frac, hi * frac))
