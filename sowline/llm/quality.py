@@ -1,22 +1,26 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Every document gets base counts and rule scores (higher is worse).  Cutoffs
-come from labelled documents: for each stratum (language), rule and candidate
-cutoff the labelled good documents above the cutoff are counted, and the exact
-binomial test asks whether the rule would reject more than ``limit`` of the
-good ones.  A cutoff is certified if ``P(Binomial(n, limit) <= k)`` is at most
-``error`` divided by the number of all tests (strata x rules x cutoffs), so
-with probability ``1 - error`` every certified cutoff keeps its promise at the
-same time.  Of a rule's certified cutoffs the one that best separates bad from
-good labelled documents is applied; a stratum with too few labels to certify a
-cutoff rejects nothing by that rule.
+Every document gets base counts and rule scores (higher is worse).  A step
+gives every rule a cutoff and rejects what is above any of them; steps go from
+loose to strict, so their rejections are nested.  For each stratum (language)
+the labelled good documents that a step rejects are counted, and the exact
+binomial test asks whether the step would reject more than ``limit`` of the
+good ones: it is certified if ``P(Binomial(n, limit) <= k)`` is at most the
+stratum's level and all looser steps are certified (tests in a fixed order
+need no correction among themselves).  The level is ``error`` divided by the
+number of strata with enough good labels to certify anything if they were
+alone, which does not depend on how their tests end.  So with probability
+``1 - error`` no applied step, and it is all rules together, breaks its
+promise.  Of a stratum's certified steps the one that best separates bad from
+good labelled documents is applied; a stratum without any rejects nothing by
+the rules.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sowline.llm.common import stored, unused
@@ -25,11 +29,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[^#*$%&|<>]+"       # all that is no symbol
 
-LIMIT = 0.01        # of a stratum's good documents that one rule may reject
-ERROR = 0.05        # chance that any certified cutoff breaks that promise
+LIMIT = 0.02        # of a stratum's good documents that all rules together may reject
+ERROR = 0.05        # chance that any applied step breaks that promise
 GOOD_WEIGHT = 10.0  # a rejected share of good documents against one of bad ones
 
-# Candidate cutoffs by rule; a document is rejected above the cutoff.
+# Cutoffs by rule from strict to loose, one a step; a document is rejected above the cutoff.
 RATIOS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.5, 2.0)
 CUTOFFS = {
     "symbols": RATIOS,              # symbols a word
@@ -39,7 +43,7 @@ CUTOFFS = {
     "long_words": (5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0, 100.0),
     "short_words": (0.20, 0.21, 0.22, 0.23, 0.24, 0.25, 0.28, 0.3, 0.33, 0.4, 0.5, 0.6, 0.7, 0.9),  # words a character
 }
-N_CUTOFFS = sum(map(len, CUTOFFS.values()))
+N_STEPS = len(RATIOS)           # step 0 has the last and loosest cutoff of every rule
 
 
 def _repeat_words(keys: Column) -> Column:
@@ -133,49 +137,59 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.exp(first) * total)
 
 
-def certified_cutoffs(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
-    """``(stratum, cutoffs)``: a map from rule to its certified cutoff.
+def first_step(scores: Column) -> Column:
+    """The loosest step that rejects a document; N_STEPS if none does."""
+    def steps_passed(rule, cutoffs):
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: c >= scores[rule]))
+
+    by_rule = [steps_passed(rule, cutoffs) for rule, cutoffs in CUTOFFS.items()]
+    return F.least(*by_rule)
+
+
+def step_counts(featured: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(stratum, step, n_good, good_over, n_bad, bad_over)`` of labelled documents.
 
     ``labels`` has doc_id and quality (1 good, 0 bad, NULL ignored; of repeated
     ids the best label counts).  Documents are joined by id; rows without an id
-    or a label take no part.  Counts are summed per (stratum, rule, cutoff)
-    before they meet, so no stratum is gathered in one task.
+    or a label take no part.  At most 15 rows a stratum and partition are
+    shuffled, so no stratum is gathered in one task.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    scored = featured.select("doc_id", F.col("quality.stratum").alias("stratum"), F.col("quality.scores").alias("s"))
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"),
-                               (F.col("s")[rule] > F.lit(float(c))).cast("long").alias("over"))
-                      for rule, cutoffs in CUTOFFS.items() for c in cutoffs])
-    counts = (scored.join(marks, "doc_id").select("stratum", "good", F.explode(tests).alias("t"))
-              .groupBy("stratum", "t.rule", "t.cutoff")
-              .agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("n_good"),
-                   F.sum(F.when(F.col("good") == 1, F.col("t.over")).otherwise(0)).alias("good_over"),
-                   F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("n_bad"),
-                   F.sum(F.when(F.col("good") == 1, 0).otherwise(F.col("t.over"))).alias("bad_over")))
-    counts = stored(counts, "cutoff-counts")
-    strata = counts.select("stratum").distinct().count()
-    level = error / max(1, strata * N_CUTOFFS)
+    scored = featured.select("doc_id", F.col("quality.stratum").alias("stratum"), first_step(F.col("quality.scores")).alias("first"))
+    is_good = F.col("good") == 1
+    firsts = scored.join(marks, "doc_id").groupBy("stratum", "first").agg(
+        F.sum(is_good.cast("long")).alias("g"), F.sum((~is_good).cast("long")).alias("b"))
+    over = lambda c: F.sum(F.when(F.col("first") <= F.col("step"), F.col(c)).otherwise(0))
+    return firsts.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(N_STEPS - 1)))).groupBy("stratum", "step").agg(
+        F.sum("g").alias("n_good"), over("g").alias("good_over"), F.sum("b").alias("n_bad"), over("b").alias("bad_over"))
+
+
+def certified_steps(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+    """``(stratum, step)``: the step to apply, for strata with a certified one."""
+    counts = stored(step_counts(featured, labels), "step-counts")
+    able = counts.where((F.col("step") == 0) & (F.col("n_good") * -math.log1p(-limit) >= -math.log(error))).count()
+    good = binomial_tail(F.col("n_good"), F.col("good_over"), limit) <= error / max(1, able)
+    # a stratum has one row a step here
+    looser = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     gain = F.col("bad_over") / F.greatest("n_bad", F.lit(1)) - GOOD_WEIGHT * F.col("good_over") / F.greatest("n_good", F.lit(1))
-    best = (counts.where((F.col("bad_over") > 0) & (binomial_tail(F.col("n_good"), F.col("good_over"), limit) <= level))
-            .groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best")))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "best.cutoff"))).alias("cutoffs"))
+    return (counts.withColumn("certified", F.min(good).over(looser)).where("certified and bad_over > 0")
+            .groupBy("stratum").agg(F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("loose"))).alias("best"))
+            .select("stratum", (-F.col("best.loose")).alias("step")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """``docs`` plus ``quality`` (see ``features``) and ``kept``.
 
-    The cutoffs are a table of one row a stratum; documents meet it by
+    The steps are a table of one row a stratum; documents meet it by
     stratum, as a broadcast only if Spark finds the table small enough.
     """
     featured = features(docs)
-    cutoffs = stored(certified_cutoffs(featured, labels, limit, error), "cutoffs")
-    stratum, rules = unused(docs, "cutoff_stratum"), unused(docs, "cutoff_rules")
-    cutoffs = cutoffs.select(F.col("stratum").alias(stratum), F.col("cutoffs").alias(rules))
-    joined = featured.join(cutoffs, F.col("quality.stratum") == F.col(stratum), "left")
-    over = F.lit(False)
-    for rule in CUTOFFS:
-        over = over | F.coalesce(F.col("quality.scores")[rule] > F.col(rules)[rule], F.lit(False))
-    return joined.withColumn("kept", ~F.col("quality.base_failed") & ~over).drop(stratum, rules)
+    steps = stored(certified_steps(featured, labels, limit, error), "steps")
+    stratum, step = unused(docs, "step_stratum"), unused(docs, "step_applied")
+    steps = steps.select(F.col("stratum").alias(stratum), F.col("step").alias(step))
+    joined = featured.join(steps, F.col("quality.stratum") == F.col(stratum), "left")
+    over = F.coalesce(first_step(F.col("quality.scores")) <= F.col(step), F.lit(False))
+    return joined.withColumn("kept", ~F.col("quality.base_failed") & ~over).drop(stratum, step)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

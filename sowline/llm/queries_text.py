@@ -25,21 +25,19 @@ s as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
              coalesce(n_symbols / nullif(n_words, 0), 0) as symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as duplicate_lines,
              coalesce(n_repeat_words / nullif(n_words, 0), 0) as repeated_words, coalesce(n_capitals / nullif(word_chars, 0), 0) as capitals,
              coalesce(word_chars / nullif(n_words, 0), 0) as long_words, coalesce(n_words / nullif(word_chars, 0), 0) as short_words from f),
-grid(rule, cutoff) as (values {', '.join(f"('{r}', {float(c)}::double)" for r, cs in quality.CUTOFFS.items() for c in cs)}),
-long as (unpivot (select rid, doc_id, stratum, {', '.join(f'{r}::double as {r}' for r in quality.CUTOFFS)} from s)
-         on {', '.join(quality.CUTOFFS)} into name rule value score),
+firsts as (select *, least({', '.join(f"len(list_filter({[float(c) for c in cs]}::double[], lambda c: c >= {r}::double))" for r, cs in quality.CUTOFFS.items())}) as first from s),
 marks as (select doc_id, max(quality) as good from labels where doc_id is not null and quality is not null group by 1),
-counts as (select stratum, rule, cutoff, sum((good = 1)::int) as n_good, sum((good = 1 and score > cutoff)::int) as good_over,
-                  sum((good <> 1)::int) as n_bad, sum((good <> 1 and score > cutoff)::int) as bad_over
-           from long join marks using (doc_id) join grid using (rule) group by all),
+counts as (select stratum, step, sum((good = 1)::int) as n_good, sum((good = 1 and first <= step)::int) as good_over,
+                  sum((good <> 1)::int) as n_bad, sum((good <> 1 and first <= step)::int) as bad_over
+           from firsts join marks using (doc_id), range({quality.N_STEPS}) g(step) group by all),
 tests as (select *, case when good_over > n_good * {quality.LIMIT} then 1 else
             list_sum(list_transform(range(0, (good_over + 1)::bigint), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
               + i * ln({quality.LIMIT}) + (n_good - i) * ln(1 - {quality.LIMIT})))) end as tail,
-            {quality.ERROR} / ((select count(distinct stratum) from counts) * {quality.N_CUTOFFS}) as level,
+            {quality.ERROR} / greatest(1, (select count(*) from counts where step = 0 and n_good * -ln(1 - {quality.LIMIT}) >= -ln({quality.ERROR}))) as level,
             bad_over / greatest(n_bad, 1) - {quality.GOOD_WEIGHT} * good_over / greatest(n_good, 1) as gain from counts),
-best as (select distinct on (stratum, rule) stratum, rule, cutoff from tests where bad_over > 0 and tail <= level
-         order by stratum, rule, gain desc, cutoff desc),
-bad as (select distinct rid from long join best using (stratum, rule) where score > best.cutoff)
+certified as (select *, bool_and(tail <= level) over (partition by stratum order by step) as ok from tests),
+best as (select distinct on (stratum) stratum, step from certified where ok and bad_over > 0 order by stratum, gain desc, step),
+bad as (select distinct rid from firsts join best using (stratum) where first <= step)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and bad.rid is null as kept
 from s left join bad using (rid)

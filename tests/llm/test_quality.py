@@ -52,6 +52,29 @@ def test_certified_cutoffs_reject_junk_only(spark):
     assert few.count() == docs.count()                # 30 good documents certify nothing
 
 
+def test_small_strata_reject_junk_and_the_promise_holds_for_all_rules_together(spark):
+    """Four strata of 320 good documents certify; where junk looks like good ones, no step does."""
+    good = " ".join(f"word{i}" for i in range(60))
+    junk = " ".join(f"word{i}$$$" for i in range(60))
+    rows = [(i, junk if i % 400 >= 320 else good, f"l{i // 400}") for i in range(1600)]
+    # stratum l4: 320 labelled good, 40 of them as full of symbols as the bad
+    rows += [(2000 + i, junk if i < 40 or i >= 320 else good, "l4") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(if(doc_id < 2000, doc_id % 400 < 320, doc_id < 2320) as int) as quality")
+    steps = {r.stratum: r.step for r in quality.certified_steps(quality.features(docs), labels).collect()}
+    assert set(steps) == {"l0", "l1", "l2", "l3"}
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, _, lang in rows if lang == "l4" or i % 400 < 320}
+
+
+def test_first_step_is_the_loosest_that_rejects(spark):
+    names = list(quality.CUTOFFS)
+    for scores in ([0.0] * 6, [0.02] * 6, [0.021, 0, 0, 0, 0, 0], [0, 0, 0, 0, 7.2, 0.23], [9.0, 0, 0, 0, 0, 0]):
+        row = spark.createDataFrame([tuple(map(float, scores))], names).select(quality.first_step(F.struct(*names)).alias("x")).first()
+        over = [any(v > quality.CUTOFFS[r][-1 - step] for r, v in zip(names, scores)) for step in range(quality.N_STEPS)]
+        assert row.x == (over.index(True) if True in over else quality.N_STEPS)
+
+
 def test_stage_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a " * 49, "x", 0, "z"), (2, " ".join(f"b{i}" for i in range(50)), "y", 1, "z"), (None, None, None, None, None)],
                                  "doc_id long, text string, lang string, kept int, quality string")
