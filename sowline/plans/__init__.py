@@ -6,4 +6,4 @@ the same parquet tables.  Importing the family modules fills the registry.
 """
 
 from sowline.plans.registry import QUERIES, ORACLE, register  # noqa: F401
-from sowline.plans import machines, calendar, joins, progress, nesting, textual, planning, coverage, records, ordering, dates, feeds, bounded  # noqa: F401,E402
+from sowline.plans import machines, calendar, joins, progress, nesting, textual, planning, coverage, records, ordering, dates, feeds, bounded, daily  # noqa: F401,E402

@@ -446,3 +446,11 @@ def test_n7_query_keeps_a_hot_customer_in_one_row(spark, tmp_path):
     assert {k: (r.part_no, r.n_orders) for k, r in got.items()} == {1: (0, 3000), 2: (0, 3)}
     assert [c["o_orderkey"] for c in json.loads(got[1].orders_json)] == list(range(3000))
     assert q_nest_children(spark, str(tmp_path)).count() == 2
+
+
+def test_n7_query_cuts_a_wide_customer_by_key_range(spark, tmp_path):
+    from sowline.plans.progress import PART_KEYS, q_nest_children
+    spark.range(10).selectExpr(f"id * {PART_KEYS // 4} as o_orderkey", "1L as o_custkey", "'F' as o_orderstatus") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.part_no: r.n_orders for r in q_nest_children(spark, str(tmp_path)).collect()}
+    assert got == {0: 4, 1: 4, 2: 2}
