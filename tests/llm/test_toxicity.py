@@ -44,6 +44,37 @@ def test_gradients(monkeypatch):
         assert grad[k][i] == pytest.approx((up - down) / 2 / eps, rel=0.05, abs=1e-4), k
 
 
+def test_network_equals_one_written_step_by_step():
+    rng = np.random.default_rng(4)
+    w = {k: v.astype(np.float64) for k, v in toxicity.new_weights(rng).items()}
+    for way in "fb":
+        w[f"bias_{way}"] = rng.standard_normal(3 * toxicity.HIDDEN)
+    words = ["idiot", "the", "of", "", "é", "reading"]
+    features = toxicity.word_features(words)
+    starts, lengths, ids = np.array([0, 2, 5]), np.array([6, 3, 1]), np.arange(len(words))
+    got = toxicity.logits(w, features, ids, starts, lengths)
+
+    sigmoid, size = lambda v: 1 / (1 + np.exp(-v)), toxicity.HIDDEN
+    inputs = []
+    for i in range(len(words)):
+        grams = [w["gram"][g] for g, owner in zip(features[1], features[2]) if owner == i]
+        inputs.append(np.concatenate([w["word"][features[0][i]], np.mean(grams, axis=0) if grams else np.zeros(toxicity.GRAM_DIM)]))
+    for window, (start, length) in enumerate(zip(starts, lengths)):
+        both = {}
+        for way in "fb":
+            state, both[way] = np.zeros(size), {}
+            for p in range(length) if way == "f" else reversed(range(length)):
+                x, rec = inputs[start + p] @ w[f"in_{way}"] + w[f"bias_{way}"], state @ w[f"rec_{way}"]
+                update, reset = sigmoid(x[:size] + rec[:size]), sigmoid(x[size:2 * size] + rec[size:2 * size])
+                new = np.tanh(x[2 * size:] + reset * rec[2 * size:])
+                state = update * state + (1 - update) * new
+                both[way][p] = state
+        states = [np.concatenate([both["f"][p], both["b"][p]]) for p in range(length)]
+        weights = np.exp([np.tanh(h @ w["att"] + w["att_bias"]) @ w["att_out"] for h in states])
+        pooled = sum(a * h for a, h in zip(weights / weights.sum(), states))
+        assert got[window] == pytest.approx(pooled @ w["out"] + w["out_bias"][0], abs=1e-4)
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 24, 25, 36, 37, 100):
         text, start, length = toxicity.windows_of(np.array([0, n, n + 3]))
