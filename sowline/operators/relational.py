@@ -61,17 +61,16 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     * any null in the subquery -> no row qualifies;
     * a null left key qualifies only when the subquery is empty.
     Built as an anti join on the non-null keys (shuffle or broadcast, chosen
-    by AQE) and two scalar subqueries (row count, null count), so it never
-    falls back to a nested-loop join the way a large NOT IN subquery can.
+    by AQE) and one scalar subquery that holds both counts, so it never falls
+    back to a nested-loop join the way a large NOT IN subquery can.
     """
     rk = right.select(F.col(right_key).alias("__rk"))
-    # two scalar subqueries over the subquery side (partial aggregation, one
-    # value each), used as filter literals: no join to attach them
-    n_rows = rk.agg(F.count(F.lit(1))).scalar()
-    n_null = rk.agg(F.count(F.lit(1)) - F.count("__rk")).scalar()
+    # 0: no rows, 1: no nulls, 2: some null (partial aggregation, one value)
+    rows, known = F.count(F.lit(1)), F.count("__rk")
+    state = rk.agg(F.when(rows == 0, 0).when(rows == known, 1).otherwise(2)).scalar()
     keys = rk.where(F.col("__rk").isNotNull()).distinct()
     anti = left.join(keys, left[left_key] == keys["__rk"], "left_anti")
-    return anti.where((n_rows == 0) | ((n_null == 0) & F.col(left_key).isNotNull()))
+    return anti.where(F.when(F.col(left_key).isNotNull(), 1).otherwise(0) >= state)
 
 
 def match_else(base: DataFrame, direct: DataFrame, direct_key: str, base_key: str,
