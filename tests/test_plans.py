@@ -35,7 +35,9 @@ def test_gap_window_sorts_per_hour_block(spark):
 
 
 @pytest.mark.parametrize("name", ["not_in", "not_in_with_null", "or_join", "daily_counts_dense",
-                                  "running_total", "three_feed_union"])
+                                  "running_total", "three_feed_union",
+                                  "cells_daily", "packets_daily", "packets_daily_category_columns", "plant_trace",
+                                  "packet_trace", "event_running_totals"])
 def test_no_nested_loop_or_cartesian(spark, name):
     plan = plan_of(E.queries()[name](spark, SF))
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
