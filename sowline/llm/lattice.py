@@ -13,9 +13,11 @@ probability is the sum over its words and the end.
   occurs, the highest likelihood is taken.  One sum a temperature comes to the
   driver.
 * A token is the end with the training documents' share of ends, else a word.
-* ``mixture`` is another model beside it: whole training words by absolute
-  discounting, ``(count - d) / tokens`` with d from the numbers of words seen
-  once and twice, and the lattice with the mass set free.
+* ``mixture`` is the model learned from the training documents: the lattice has
+  an arc for every whole training word, by absolute discounting
+  ``(count - d) / tokens`` with d from the numbers of words seen once and
+  twice, and the mass set free goes to the pieces, whose probabilities are
+  adapted from the tempered ones to the training words (see ``adapt``).
 
 Words are counted over all training documents.  Every distinct word is scored
 once, whatever its number of documents; the scores go to blocks of documents
@@ -32,14 +34,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sowline.llm.common import slices, stored, with_block, word_ids, words_of
+from sowline.llm.common import SLICE_BYTES, slices, stored, with_block, word_ids, words_of
 
 MARK = "▁"
 MAX_PIECES = 1 << 20
 TEMPERATURES = (0.5, 0.75, 1.0, 1.25)
 BLOCK_DOCS = 4096
 CELLS = 4 << 20         # lattice arcs worked on at a time
+WORDS = 1 << 16         # words scored in one call
+ROUNDS = 2              # of adapting the pieces to the training words
+PRIOR = 1000.0          # pieces that the given probabilities count as
 M1 = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << 20) - 1)
 NONE = -1
 
 
@@ -95,6 +101,8 @@ class Lattice:
                 keys[same] = h
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([i for _, i in spelled])[order]
+        self.marked = np.zeros(int(LOW) + 1, dtype=bool)
+        self.marked[keys & LOW] = True
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
 
@@ -102,13 +110,15 @@ class Lattice:
         """Piece number of word w's characters i .. i + k at ``[i, k, w]``."""
         length, words = codes.shape
         out = np.full((length, min(self.longest, length), words), len(self.logp) - 1, dtype=np.int32)
-        for i in range(length):
-            h = np.zeros(words, dtype=np.uint64)
-            for k in range(min(self.longest, length - i)):
-                h = _hash(codes[i + k], h)
-                spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[spot] == h
-                out[i, k, hit] = self.ids[spot[hit]]
+        h = np.zeros((length, words), dtype=np.uint64)
+        for k in range(out.shape[1]):
+            h = _hash(codes[k:], h[:length - k])        # of the strings from every place
+            # most strings are no piece: the low bits tell before a search
+            near = np.flatnonzero(self.marked[h & LOW])
+            found = h.ravel()[near]
+            spot = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            hit = self.keys[spot] == found
+            out[near[hit] // words, k, near[hit] % words] = self.ids[spot[hit]]
         return out
 
     def spell(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -120,17 +130,58 @@ class Lattice:
             out[lone & (codes == code)] = self.logp[[int(self.byte[b]) for b in chr(code).encode("utf-8", "surrogatepass")]].sum()
         return out
 
+    def sweep(self, codes: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(totals, single)``: the log probability of all paths to every
+        place ``[i, w]``, and that of characters spelled in bytes.
+
+        Paths to a place are summed as plain numbers relative to that place.
+        """
+        p, single = np.exp(self.logp), np.exp(self.spell(codes, arcs[:, 0]))
+        length, words = codes.shape
+        reach = arcs.shape[1]
+        alpha, totals = np.zeros((length + 1, words)), np.zeros((length + 1, words))
+        alpha[0] = 1.0
+        with np.errstate(divide="ignore"):
+            for i in range(length):
+                if i:
+                    scale = np.where(alpha[i] > 0, alpha[i], 1.0)
+                    alpha[i:i + reach] /= scale
+                    totals[i] = totals[i - 1] + np.log(scale)
+                alpha[i + 1] += alpha[i] * single[i]
+                for k in range(min(reach, length - i)):
+                    alpha[i + k + 1] += alpha[i] * p[arcs[i, k]]
+            totals[length] = totals[length - 1] + np.log(alpha[length])
+        return totals, single
+
     def forward(self, codes: np.ndarray, arcs: np.ndarray) -> np.ndarray:
         """Log probability of all paths to the end of every word."""
-        single = self.spell(codes, arcs[:, 0])
-        length, words = codes.shape
-        alpha = np.full((length + 1, words), -np.inf)
-        alpha[0] = 0.0
-        for i in range(length):
-            alpha[i + 1] = np.logaddexp(alpha[i + 1], alpha[i] + single[i])
-            for k in range(min(arcs.shape[1], length - i)):
-                alpha[i + k + 1] = np.logaddexp(alpha[i + k + 1], alpha[i] + self.logp[arcs[i, k]])
-        return alpha[length]
+        return self.sweep(codes, arcs)[0][-1]
+
+    def expected(self, words: pa.Array) -> np.ndarray:
+        """How often every piece is used in the words, each word's paths
+        weighted by their probability given the word."""
+        p, none = np.exp(self.logp), len(self.logp) - 1
+        out = np.zeros(len(self.logp))
+        for _, codes in self.groups(words):
+            arcs = self.arcs(codes)
+            totals, single = self.sweep(codes, arcs)
+            length = codes.shape[0]
+            # share[i]: of the paths, those through place i; a step's share is
+            # that of its end times the step's part in all paths to there
+            share, used = np.ones(totals.shape), np.zeros(arcs.shape)
+            for i in range(length - 1, -1, -1):
+                step = share[i + 1] * single[i] * np.exp(totals[i] - totals[i + 1])
+                for code in np.unique(codes[i, step > 0]).tolist():
+                    spelled = step[codes[i] == code].sum()
+                    for b in chr(code).encode("utf-8", "surrogatepass"):
+                        out[self.byte[b]] += spelled
+                share[i] = step
+                for k in range(min(arcs.shape[1], length - i)):
+                    used[i, k] = share[i + k + 1] * p[arcs[i, k]] * np.exp(totals[i] - totals[i + k + 1])
+                    share[i] += used[i, k]
+            out += np.bincount(arcs.ravel(), weights=used.ravel(), minlength=len(out))
+        out[none] = 0
+        return out[:none]
 
     def groups(self, words: pa.Array):
         """``(places, codes)`` of the words by length, a bounded number of
@@ -161,6 +212,19 @@ class Lattice:
         return out if weights else out[0]
 
 
+def together(batches):
+    """Batches of words put together up to ``WORDS`` words or ``SLICE_BYTES``."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= WORDS or size >= SLICE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tempered(logp, temperature: float) -> np.ndarray:
     """The probabilities to the power of ``temperature``, summing to one."""
     out = np.asarray(logp) * temperature
@@ -203,7 +267,7 @@ def fit(words: DataFrame, vocabulary, temperatures: tuple = TEMPERATURES) -> flo
         lattice = Lattice(*shipped.value)
         weights = tuple(tempered(shipped.value[1], t) for t in temperatures)
         sums = np.zeros(len(temperatures))
-        for batch in batches:
+        for batch in together(batches):
             sums += lattice.score(batch.column("word"), weights) @ np.asarray(batch.column("n")).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "lp"])
 
@@ -212,9 +276,41 @@ def fit(words: DataFrame, vocabulary, temperatures: tuple = TEMPERATURES) -> flo
     return temperatures[max(total, key=lambda k: (total[k], -k))] if total else 1.0
 
 
+def adapt(words: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The vocabulary's log probabilities adapted to the training words of
+    ``words`` (word, n): expectation-maximisation over all segmentations.
+
+    Every distinct training word counts once, as the pieces stand for words
+    not met before; the given probabilities count as ``PRIOR`` pieces.
+    One number a piece comes to the driver.
+    """
+    spark, prior = words.sparkSession, np.exp(np.asarray(vocabulary[1]))
+    seen = words.where("n > 0").select("word")
+    logp = np.asarray(vocabulary[1], dtype=float)
+    for _ in range(rounds):
+        shipped = spark.sparkContext.broadcast((vocabulary[0], logp, vocabulary[2]))
+
+        def run(batches):
+            lattice = Lattice(*shipped.value)
+            sums = np.zeros(len(shipped.value[0]))
+            for batch in together(batches):
+                sums += lattice.expected(batch.column("word"))
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], names=["piece", "uses"])
+
+        found = seen.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        if not found.num_rows:
+            break
+        uses = PRIOR * prior
+        uses[np.asarray(found["piece"].combine_chunks())] += np.asarray(found["uses"].combine_chunks())
+        logp = np.log(uses / uses.sum())
+        shipped.unpersist()
+    return logp
+
+
 def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score (the lattice's) and mixture (log10).
+    score (the given pieces' lattice) and mixture (the learned one's) in log10.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z and
     one end.  NULL, empty and blank texts have the end alone.  Repeated rows
@@ -237,15 +333,17 @@ def scores(docs: DataFrame, path: str, folds: int = 7, held: int = 2) -> DataFra
     end = math.log10(share)
     word = math.log10(max(1 - share, 1 / (n_train + 1)))        # a token that is no end
     logp = tempered(vocabulary[1], fit(words, vocabulary))
-    shipped = spark.sparkContext.broadcast((vocabulary[0], logp, vocabulary[2]))
+    adapted = adapt(words, (vocabulary[0], logp, vocabulary[2]))
+    shipped = spark.sparkContext.broadcast(((vocabulary[0], logp, vocabulary[2]), adapted))
 
     def score_words(batches):
-        lattice = Lattice(*shipped.value)
-        for batch in batches:
+        given, learned = shipped.value
+        lattice = Lattice(*given)
+        for batch in together(batches):
             whole = np.maximum(np.asarray(batch.column("n")) - discount, 0) / max(n_train, 1)
-            paths = lattice.score(batch.column("word"))
+            paths, adapted_paths = lattice.score(batch.column("word"), (given[1], learned))
             with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(whole), math.log(spelled) + paths) / math.log(10)
+                mixed = np.logaddexp(np.log(whole), math.log(spelled) + adapted_paths) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(word + paths / math.log(10)), pa.array(mixed)],
                                              names=["word", "n", "lp", "mixed"])
 

@@ -114,8 +114,10 @@ def op8(spark, sf_dir):
 
 @query("op4_lm_scoring")
 def op4(spark, sf_dir):
-    """Base and lattice log10 probabilities of every whole text."""
-    return lattice.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """Base and learned lattice log10 probabilities of every whole text;
+    ``lattice_score`` is that of the given pieces alone."""
+    return lattice.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")) \
+        .withColumnsRenamed({"score": "lattice_score", "mixture": "score"})
 
 
 @query("op5_toxicity")

@@ -89,3 +89,53 @@ def test_total_probability_of_words_is_at_most_one(spark):
     rows = {r.doc_id: r for r in one.collect()}
     end = math.log10(sum(1 for r in rows.values() if not r.held_out) / rows[10_000].train_tokens)
     assert sum(10 ** (rows[10_000 + k].score - end) for k in range(4)) < 1
+
+
+def test_adapted_pieces_are_their_expected_uses(spark):
+    prior = lattice.tempered(VOCABULARY[1], 1.0)
+    words = {"the": 3, "thetion": 1, "日q": 2, "unseen": 0}
+    uses = Counter()
+
+    def paths(text):
+        if not text:
+            yield 0.0, ()
+        spelled = tuple(VOCABULARY[2].index(b) for b in text[:1].encode())
+        steps = [((i,), k) for k in range(1, len(text) + 1) if (i := PIECES.get(text[:k])) is not None]
+        if text and text[0] not in PIECES:
+            steps.append((spelled, 1))
+        for ids, k in steps:
+            for lp, more in paths(text[k:]):
+                yield lp + sum(prior[i] for i in ids), ids + more
+
+    PIECES = {p: i for i, (p, n) in enumerate(zip(VOCABULARY[0], VOCABULARY[2])) if n < 0}
+    for word, n in words.items():
+        found = list(paths(lattice.MARK + word)) if n else []
+        total = sum(math.exp(lp) for lp, _ in found)
+        for lp, ids in found:
+            for i in ids:
+                uses[i] += math.exp(lp) / total
+    want = lattice.PRIOR * np.exp(prior)
+    for i, n in uses.items():
+        want[i] += n
+    table = spark.createDataFrame([*words.items()], "word string, n long")
+    got = lattice.adapt(table, (VOCABULARY[0], prior, VOCABULARY[2]), rounds=1)
+    assert got == pytest.approx(np.log(want / want.sum()), abs=1e-9)
+    assert lattice.adapt(table.where("n = 0"), (VOCABULARY[0], prior, VOCABULARY[2])) == pytest.approx(prior)
+
+
+def test_scores_of_held_out_rows_are_near_the_base(spark, tmp_path):
+    from sowline.llm.queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    names = ["".join(rng.choice(syllables, 2 + k % 3)) for k in range(3000)]
+    usual = 1 / np.arange(1, 3001)
+    texts = [" ".join(rng.choice(names, 120, p=usual / usual.sum())) for _ in range(300)]
+    rows = [*enumerate(texts), (300, None), (301, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_lm_scoring"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(302))
+    assert all(math.isfinite(r.score) and math.isfinite(r.lattice_score) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
+    assert sum(r.lattice_score for r in held) < 1.5 * sum(r.base_score for r in held)
