@@ -132,3 +132,20 @@ def test_csv_rejects_lose_no_line(spark, tmp_path):
     assert sorted(r.line for r in rejects.collect()) == ["2,n/a,2024-01-02", "4,1.0,soon", "5,1.0", "6,1.0,2024-01-01,x"]
     # one column alone gives the same rows
     assert good.select("id").count() == 3
+
+
+def test_small_sets_are_records_made_in_one_shuffle(spark):
+    from sowline.operators.records import ENTRIES, nested_records
+
+    lines = [(1, 1, "A", 10), (1, 1, "N", 11), (1, 1, "A", 10), (1, None, None, 12), (None, 2, "R", 13), (2, 3, "A", 14)]
+    lines += [(3, i % 2, "AN"[i % 2], i // 3) for i in range(ENTRIES + 50)]
+    rows = spark.createDataFrame(lines, "s long, e int, g string, q long")
+    small = nested_records(rows.where("s is null or s < 3"), "s", "e", F.struct("q"), F.col("g"), [("Q", F.col("q"))])
+    assert small._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = nested_records(rows, "s", "e", F.struct("q"), F.col("g"), [("Q", F.col("q"))]).collect()
+    assert [r.s for r in got if r.whole].count(1) == 1 and all(r.whole == (r.s != 3) for r in got)
+    flat = sorted(str((r.s, e.entry_id, m.q, i.value, tuple(e.groups))) for r in got for e in r.entries for m, i in zip(e.materials, e.instructions))
+    groups = {}
+    for s, e, g, _ in lines:
+        groups.setdefault((s, e), set()).update([g] if g else [])
+    assert flat == sorted(str((s, e, q, str(q), tuple(sorted(groups[s, e])))) for s, e, _, q in lines)
