@@ -149,21 +149,49 @@ SUMS_SQL = "sum(quantity) AS set_requested_quantity, sum(packet) AS set_requeste
 RAW_KEYS = ["vcr", "experiment_name", "experiment_id", "barcode", "set_id", "gl_set_id", "rte_date", "filled_date"]
 
 
+def _repeated(spark, base) -> DataFrame:
+    """Sets with several whole records (their order, customer or nation has
+    several rows), written once a session."""
+    r = set_records(spark, base)
+    key = ("repeated", spark.sparkContext.applicationId, *sorted(r.inputFiles()))
+    if key not in _STORED:
+        n = r.where("whole").groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+        _STORED[key] = store(n.where("n > 1").select("set_id"), "repeated-sets")
+    return _STORED[key]
+
+
 def combined(spark, base) -> DataFrame:
     """One row per entry, inventory barcode and filled date of the entry, with
-    the entry's requested amounts (the join of three unnests of the records)."""
+    the entry's requested amounts (the join of three unnests of the records).
+
+    In the only, whole record of a set the three meet inside the row; only
+    sets with several records are unnested apart and joined.
+    """
     ready = F.expr(READY_SINCE)
-    e = set_records(spark, base).select("vcr", "experiment_name", "experiment_id", "set_id", F.when(ready, F.col("set_id")).alias("gl_set_id"),
-                                        F.when(ready, F.col("audit_day")).alias("rte_date"), F.explode("entries").alias("e"))
     key = ["set_id", "entry_id"]
-    entry = F.col("e.entry_id").alias("entry_id")
-    request = e.select("set_id", entry, coded_max(F.col("e.instructions"), "PACK_ENT").alias("p"), coded_max(F.col("e.instructions"), "SEEDS_PACK").alias("s")) \
-        .groupBy(*key).agg(F.max("p").cast("double").alias("packet"), (F.max("p") * F.max("s")).cast("double").alias("quantity"))
-    codes = e.select("set_id", entry, F.explode(F.array_distinct(F.filter("e.materials", lambda m: m["product"] == "inventory")["barcode"])).alias("barcode"))
-    stock = codes.distinct().join(_inventory(spark, base).withColumnRenamed("quantity", "stock"), "barcode")
     heads = [c for c in RAW_KEYS if c not in ("barcode", "filled_date", "set_id")]
-    days = e.select("set_id", entry, *heads, F.explode(F.array_distinct("e.materials.filled_date")).alias("filled_date")).distinct()
-    return days.join(request, key).join(stock, key)
+    p, s = coded_max(F.col("e.instructions"), "PACK_ENT"), coded_max(F.col("e.instructions"), "SEEDS_PACK")
+    codes = F.array_distinct(F.filter("e.materials", lambda m: m["product"] == "inventory")["barcode"])
+    days = F.array_distinct("e.materials.filled_date")
+
+    def entries(r):
+        return r.select("vcr", "experiment_name", "experiment_id", "set_id", F.when(ready, F.col("set_id")).alias("gl_set_id"),
+                        F.when(ready, F.col("audit_day")).alias("rte_date"), F.explode("entries").alias("e")) \
+            .select("*", F.col("e.entry_id").alias("entry_id"))
+
+    def amounts(p, s):
+        return p.cast("double").alias("packet"), (p * s).cast("double").alias("quantity")
+
+    r, repeated = set_records(spark, base), _repeated(spark, base)
+    only = entries(r.where("whole").join(repeated, "set_id", "left_anti")).where("entry_id is not null")
+    rows = only.select(*heads, *key, *amounts(p, s), codes.alias("codes"), F.explode(days).alias("filled_date")) \
+        .select("*", F.explode("codes").alias("barcode")).drop("codes")
+    several = entries(r.where("not whole").unionByName(r.where("whole").join(repeated, "set_id", "left_semi")))
+    request = several.select(*key, p.alias("p"), s.alias("s")).groupBy(*key).agg(*amounts(F.max("p"), F.max("s")))
+    asked = several.select(*key, F.explode(codes).alias("barcode")).distinct()
+    filled = several.select(*key, *heads, F.explode(days).alias("filled_date")).distinct()
+    rows = rows.unionByName(filled.join(request, key).join(asked, key))
+    return rows.join(_inventory(spark, base).withColumnRenamed("quantity", "stock"), "barcode")
 
 
 def _sums(df, keys):
