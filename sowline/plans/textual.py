@@ -13,7 +13,6 @@ from sowline.operators.relational import remove_rows, union_all
 from sowline.operators.reshape import pivot_table
 from sowline.operators.skew import split_lookup
 from sowline.operators.textids import RANGE_PATTERN, extract_ids
-from sowline.operators.windows import duplicate_flag
 from sowline.plans.registry import register
 from sowline.session import checkpoint_dir
 from sowline.sources.tables import read_result, read_table, store, write_set
@@ -87,7 +86,7 @@ RELEASE_NAME_MAX_SIZE = 5      # names whose smallest part is below this have a
 def _cells(spark, base):
     li, p = T(spark, base, "lineitem"), T(spark, base, "part")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    return j.select(F.col("l_orderkey").alias("cassette_id"), F.col("l_linenumber").alias("cell_number"),
+    return j.select(F.col("l_partkey").alias("__part"), F.col("l_orderkey").alias("cassette_id"), F.col("l_linenumber").alias("cell_number"),
                     F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_partkey"))
                     .alias("set_id"),
                     F.col("p_name").alias("set_name"), F.col("l_linestatus").alias("cat_type"))
@@ -102,7 +101,7 @@ def _release_dates(spark, base):
         F.col("m") < RELEASE_NAME_MAX_SIZE).select(
         F.lit(None).cast("long").alias("rel_set_id"), F.col("p_name").alias("rel_set_name"),
         F.date_add(F.lit(dt.date(2024, 3, 1)), F.col("m")).alias("rel_date"))
-    return union_all([by_id, by_name])
+    return by_id, by_name
 
 
 def attach_dates(spark, base, mode: str = "per_column"):
@@ -113,22 +112,21 @@ def attach_dates(spark, base, mode: str = "per_column"):
     pairs of the null group), so null names match nothing here; the source
     notes that cells with a set id always carry a name, where both rules agree.
     """
-    cells, rel = _cells(spark, base), _release_dates(spark, base)
-    with_id = cells.where(F.col("set_id").isNotNull())
-    merged1 = with_id.join(rel, with_id.set_id == rel.rel_set_id, "left")
-    retry = merged1.where(F.col("rel_date").isNull()).select(*cells.columns)
-    merged2 = retry.join(rel, retry.set_name == rel.rel_set_name, "left")
-    rest = cells.where(F.col("set_id").isNull())
-    # the union feeds the duplicate probe and every per-column membership test:
-    # cut the lineage once (reliable checkpoint in the session's checkpoint
-    # folder) instead of re-running the joins for each consumer
-    final = store(union_all([merged1, merged2, rest], allow_missing=True), "attached")
-    flagged = duplicate_flag(final.select("cassette_id", "cell_number", "set_id", "set_name", "cat_type", "rel_date"), ["cassette_id", "cell_number"], "__dup")
+    cells, (by_id, by_name) = _cells(spark, base), _release_dates(spark, base)
+    # by id where the cells already lie by part; stored, as several steps read it
+    by_id = by_id.where(F.col("rel_set_id").isNotNull())
+    merged1 = store(cells.join(by_id, (cells["__part"] == by_id["rel_set_id"]) & cells["set_id"].isNotNull(), "left").drop("__part"), "attached")
+    retry = merged1.where(F.col("set_id").isNotNull() & F.col("rel_date").isNull()).select(*[c for c in cells.columns if c != "__part"])
+    # the names are stored, so that their size is known to the plan of the join
+    merged2 = store(retry.join(store(by_name, "release-names"), retry.set_name == F.col("rel_set_name"), "left"), "attached-names")
+    final = union_all([merged1, merged2])
+    undated = final.where(F.col("rel_date").isNull())
     # rows to delete have no date and so no release columns: a dated row can't
     # match them and is never shuffled, an undated one matches in those columns
     own = ["cassette_id", "cell_number", "set_id", "set_name", "cat_type"]
-    listed = flagged.where(F.col("__dup") & F.col("rel_date").isNull()).select(*own)
-    undated = final.where(F.col("rel_date").isNull())
+    cell = ["cassette_id", "cell_number"]
+    repeated = final.groupBy(*[F.col(c).alias(f"__{c}") for c in cell]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    listed = store(undated.select(*own).join(repeated, [undated[c].eqNullSafe(repeated[f"__{c}"]) for c in cell], "left_semi"), "listed")
     kept = remove_rows(undated.select(*own), listed, mode=mode)
     return final.where(F.col("rel_date").isNotNull()).unionByName(kept, allowMissingColumns=True)
 

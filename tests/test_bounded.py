@@ -149,3 +149,21 @@ def test_small_sets_are_records_made_in_one_shuffle(spark):
     for s, e, g, _ in lines:
         groups.setdefault((s, e), set()).update([g] if g else [])
     assert flat == sorted(str((s, e, q, str(q), tuple(sorted(groups[s, e])))) for s, e, _, q in lines)
+
+
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_rows_are_removed_without_a_row_per_value(spark, monkeypatch, sent):
+    from sowline.operators import relational
+
+    monkeypatch.setattr(relational, "SENT", sent)
+    rng = random.Random(5)
+    rows = [tuple(rng.choice([*range(6), None]) if k < 2 else rng.choice(["a", "b", None]) for k in range(3)) for _ in range(300)]
+    listed = [r for r in rows if r[0] in (1, None)][:12]
+    df = spark.createDataFrame(rows, "x long, y int, z string")
+    got = relational.remove_rows(df, spark.createDataFrame(listed, df.schema))
+    assert "Generate explode(array(struct" not in got._jdf.queryExecution().executedPlan().toString().replace("named_struct", "struct").replace("struct(__c", "struct")
+    assert " distinct" not in got._jdf.queryExecution().logical().toString().lower()
+    found = [{r[k] for r in listed} for k in range(3)]
+    want = [r for r in rows if not all(r[k] in found[k] for k in range(3))]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert relational.remove_rows(df, df.limit(0)).count() == 300
