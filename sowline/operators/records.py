@@ -28,18 +28,20 @@ def nested_records(children: DataFrame, set_id: str, entry_id: str, material: Co
 
     ``entries`` holds (entry_id, groups, materials, instructions): ``material``
     is a struct per child row, ``group`` a label out of a small fixed domain,
-    ``instructions`` are (code, value) texts per child row.
+    ``instructions`` are (code, value) texts per child row.  Children without
+    a set or an entry are in no record.
 
     A set of at most ``ENTRIES`` children is one record (``whole``): its rows
     are shuffled once and its entries are made inside the row.  The larger sets
     are counted out first; only their rows take the way of ``_pieces``.
     """
     given = F.array(*[F.struct(F.lit(c).alias("code"), v.cast("string").alias("value")) for c, v in instructions])
-    rows = children.select(F.col(set_id), F.col(entry_id), group.alias("g"), material.alias("m"), given.alias("i"))
-    counts = children.groupBy(F.col(set_id).alias("__large")).agg(F.count(F.lit(1)).alias("n"))
+    named = children.where(F.col(set_id).isNotNull() & F.col(entry_id).isNotNull())
+    rows = named.select(F.col(set_id), F.col(entry_id), group.alias("g"), material.alias("m"), given.alias("i"))
+    counts = named.groupBy(F.col(set_id).alias("__large")).agg(F.count(F.lit(1)).alias("n"))
     # stored: its size is known when the join with it is planned
     large = store(counts.where(F.col("n") > ENTRIES).select("__large"), "large-sets")
-    same = rows[set_id].eqNullSafe(large["__large"])
+    same = rows[set_id] == large["__large"]
     some = large.limit(1).count() > 0
     small = rows.join(large, same, "left_anti") if some else rows
     # dealt out before they are grouped: no sort of whole scans before the shuffle
@@ -47,7 +49,7 @@ def nested_records(children: DataFrame, set_id: str, entry_id: str, material: Co
     sets = small.repartition(set_id).groupBy(set_id).agg(F.collect_list(line).alias("__lines"))
 
     def entry(key):
-        own = F.filter("__lines", lambda x: x["entry_id"].eqNullSafe(key))
+        own = F.filter("__lines", lambda x: x["entry_id"] == key)
         groups = F.filter(F.array_distinct(F.transform(own, lambda x: x["g"])), lambda g: g.isNotNull())
         return F.struct(key.alias("entry_id"), F.sort_array(groups).alias("groups"), F.transform(own, lambda x: x["m"]).alias("materials"),
                         F.flatten(F.transform(own, lambda x: x["i"])).alias("instructions"))
@@ -61,11 +63,10 @@ def _pieces(rows: DataFrame, set_id: str, entry_id: str) -> DataFrame:
     """Records of bounded size of sets with any number of children."""
     keys = [set_id, entry_id]
     parts = collect_bounded(rows, keys, F.struct("m", "i"), "rows", MATERIALS)
-    groups = rows.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)]).agg(F.sort_array(F.collect_set("g")).alias("groups"))
-    same = [parts[c].eqNullSafe(groups[f"__g{i}"]) for i, c in enumerate(keys)]
+    groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("g")).alias("groups"))
     entry = F.struct(F.col(entry_id).alias("entry_id"), "groups", F.transform("rows", lambda r: r["m"]).alias("materials"),
                      F.flatten(F.transform("rows", lambda r: r["i"])).alias("instructions"))
-    return collect_bounded(parts.join(groups, same).select(set_id, entry.alias("entry")), [set_id], F.col("entry"), "entries", ENTRIES) \
+    return collect_bounded(parts.join(groups, keys).select(set_id, entry.alias("entry")), [set_id], F.col("entry"), "entries", ENTRIES) \
         .drop("part_no").withColumn("whole", F.lit(False))
 
 

@@ -146,6 +146,7 @@ def test_small_sets_are_records_made_in_one_shuffle(spark):
     assert [r.s for r in got if r.whole].count(1) == 1 and all(r.whole == (r.s != 3) for r in got)
     flat = sorted(str((r.s, e.entry_id, m.q, i.value, tuple(e.groups))) for r in got for e in r.entries for m, i in zip(e.materials, e.instructions))
     groups = {}
+    lines = [x for x in lines if x[0] is not None and x[1] is not None]
     for s, e, g, _ in lines:
         groups.setdefault((s, e), set()).update([g] if g else [])
     assert flat == sorted(str((s, e, q, str(q), tuple(sorted(groups[s, e])))) for s, e, _, q in lines)
@@ -167,3 +168,15 @@ def test_rows_are_removed_without_a_row_per_value(spark, monkeypatch, sent):
     want = [r for r in rows if not all(r[k] in found[k] for k in range(3))]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert relational.remove_rows(df, df.limit(0)).count() == 300
+
+
+def test_sets_of_the_process_lag_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    from sowline.plans import dates
+
+    base = "/root/testdata/sf0.001"
+    want = sorted(map(str, dates.process_lag(spark, base).collect()))
+    monkeypatch.setattr(dates, "SET_LINES", 500)
+    got = dates.process_lag(spark, base)
+    n = -(-spark.read.parquet(f"{base}/lineitem.parquet").count() // 500)
+    assert f", {n}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert want and sorted(map(str, got.collect())) == want
