@@ -157,14 +157,18 @@ pipeline AS (SELECT DISTINCT p_brand AS crop, c_mktsegment AS market, acked.*
              FROM acked LEFT JOIN lineitem ON l_orderkey = set_id JOIN part ON p_partkey = l_partkey
              JOIN orders ON o_orderkey = set_id JOIN customer ON c_custkey = o_custkey)"""
 
+SET_LINES = 250_000     # lines of the sets of one task, about
+
 
 def process_lag(spark, base) -> DataFrame:
     """Crop, market and four times per set; a set of several crops
     has a row for each."""
     times = resolved(spark, base).select("inventory", F.coalesce("first_direct", "first_indirect").alias("first"),
                                          F.coalesce("last_direct", "last_indirect").alias("last"))
+    # parts by set in proportion to the lines, so that no task's share grows with them
+    parts = max(1, -(-T(spark, base, "lineitem").count() // SET_LINES))
     cells = split_lookup(filled_cells(spark, base).select("cassette_id", "inventory", "filled_on"), times, ["inventory"])
-    lag = cells.groupBy(F.col("cassette_id").alias("set_id")).agg(
+    lag = cells.repartition(parts, "cassette_id").groupBy(F.col("cassette_id").alias("set_id")).agg(
         F.max("first").alias("process_start"), F.max("last").alias("process_finish"), F.max("filled_on").alias("flex_fill"))
     o = T(spark, base, "orders").select(F.col("o_orderkey").alias("set_id"), "o_custkey",
                                         F.left(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(10)).cast("date").alias("acknowledged"))
@@ -172,8 +176,9 @@ def process_lag(spark, base) -> DataFrame:
     brands = T(spark, base, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("crop"))
     # distinct crops per set before they meet the sets
     crops = split_lookup(T(spark, base, "lineitem").select(F.col("l_orderkey").alias("set_id"), "l_partkey"), brands, ["l_partkey"], "inner") \
-        .select("set_id", "crop").distinct()
-    return lag.join(o, "set_id").join(c, "o_custkey").join(crops, "set_id").select(
+        .select("set_id", "crop").repartition(parts, "set_id").distinct()
+    heads = o.join(c, "o_custkey").repartition(parts, "set_id")
+    return lag.join(heads, "set_id").join(crops, "set_id").select(
         "crop", "market", "set_id", "process_start", "process_finish", "flex_fill", "acknowledged")
 
 
